@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and read it back.
+
+    Like `cut`, but what is read has no partitioning, so that a join on it gets two plain exchanges and adaptive
+    execution can split a hot key.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import quality
+from tarnflow.llm import linedup, quality
 from tarnflow.llm.common import read
 
 
@@ -12,5 +12,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op1_quality_rules": op1_quality_rules}
+ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql()}
