@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import linedup, quality
+from tarnflow.llm import linedup, quality, simhash
 from tarnflow.llm.common import read
 
 
@@ -16,5 +16,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op1_quality_rules": op1_quality_rules}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op4_line_dedup": op4_line_dedup,
+}
 ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql()}
