@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import linedup, quality, simhash
+from tarnflow.llm import linedup, mixing, quality, simhash
 from tarnflow.llm.common import read
 
 
@@ -20,9 +20,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op9_mixing": op9_mixing,
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql()}
+ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql(), "op9_mixing": mixing.sql()}
