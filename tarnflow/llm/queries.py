@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import linedup, mixing, quality, simhash
-from tarnflow.llm.common import read
+from tarnflow.llm import language, linedup, mixing, quality, simhash
+from tarnflow.llm.common import bucket_of, read
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, learn=language.learnable()))
+    return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op7_language": op7_language,
     "op9_mixing": op9_mixing,
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
