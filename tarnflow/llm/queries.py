@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnflow.llm import language, linedup, mixing, quality, simhash
+from tarnflow.llm import language, linedup, mixing, quality, secrets, simhash
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -30,7 +30,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op8_secrets": op8_secrets,
     "op7_language": op7_language,
     "op9_mixing": op9_mixing,
     "op1_quality_rules": op1_quality_rules,
