@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnflow.llm import language, linedup, mixing, quality, secrets, simhash
+from tarnflow.llm import language, linedup, mixing, packing, quality, secrets, simhash, topk, toxicity
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -34,7 +35,24 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"), learn=toxicity.learnable()))
+    return found.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op6_toxicity": op6_toxicity,
+    "op10_topk": op10_topk,
     "op8_secrets": op8_secrets,
     "op7_language": op7_language,
     "op9_mixing": op9_mixing,
@@ -42,4 +60,4 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql(), "op9_mixing": mixing.sql()}
+ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql(), "op9_mixing": mixing.sql(), "op10_topk": topk.sql()}
