@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import language, linedup, mixing, packing, quality, secrets, simhash, topk, toxicity
+from tarnflow.llm import language, linedup, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -49,7 +49,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.documents(tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
+    "op5_tokens": op5_tokens,
     "op2_packing": op2_packing,
     "op6_toxicity": op6_toxicity,
     "op10_topk": op10_topk,
