@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.llm.common import bucket_of
 
@@ -174,21 +175,28 @@ def probabilities(p: Params, texts: list[bytes]) -> np.ndarray:
     return sums / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def identify(df: DataFrame, model: tuple[list[str], Params], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score), one row for each row of df."""
+def identify(df: DataFrame, model: tuple[list[str], Params], doc_id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score), one row for each row of df; with `keep`, df and these two columns instead."""
     names, p = model
 
+    def predicted(part: pd.Series) -> tuple[list[str], np.ndarray]:
+        known = np.array([bool(names) and t is not None and any(map(str.isalpha, t)) for t in part], bool)
+        if not known.any():
+            return [UNKNOWN] * len(part), np.zeros(len(part))
+        q = probabilities(p, [t.encode("utf-8", "replace") if k else b"" for t, k in zip(part, known)])
+        best = q.argmax(axis=1)
+        return [names[i] if k else UNKNOWN for i, k in zip(best, known)], np.where(known, np.clip(q[np.arange(len(q)), best], 0, 1), 0.0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                known = np.array([bool(names) and t is not None and any(map(str.isalpha, t)) for t in part["text"]], bool)
-                q = probabilities(p, [t.encode("utf-8", "replace") if k else b"" for t, k in zip(part["text"], known)]) if names else np.zeros((len(part), 1))
-                best = q.argmax(axis=1)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [names[i] if k else UNKNOWN for i, k in zip(best, known)], "score": np.where(known, np.clip(q[np.arange(len(q)), best], 0, 1), 0.0)})
+                lang, score = predicted(part.iloc[:, 1] if not keep else part[text])
+                yield (part if keep else part.iloc[:, :1]).assign(lang_pred=lang, score=score)
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
+    rows = df.drop("lang_pred", "score") if keep else df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fields = (rows if keep else rows.select("doc_id")).schema
+    return rows.mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def learnable(doc_id: str = "doc_id") -> Column:

@@ -74,12 +74,10 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: in
     rows = with_chunks(rows, text, divisor, min_words)
     left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_chunks", k)["body"]), "\n"))
-    return rows.select(
-        *columns,
-        cleaned.alias(text),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("_chunks")).cast("long").alias("n_chunks"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    n_chunks = F.when(F.col(text).isNull(), 0).otherwise(F.size("_chunks")).cast("long")
+    results = F.struct(cleaned.alias(text), n_chunks.alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    # A generator of one row, so that filters on the results aren't rewritten into all of their computation.
+    return rows.select(*columns, F.inline(F.array(results)))
 
 
 def sql(divisor: int = 4, min_words: int = 50) -> str:
