@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import bucket_of
+from tarnflow.llm.common import bucket_of, first_by_hash
 
 BITS = 20
 WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -65,7 +65,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Weights from at most `sample` labelled rows."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (F.lit(True) if learn is None else learn))
     chosen = chosen.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit("toxicity"), F.col(doc_id)).alias("h"))
-    chosen = chosen.orderBy("h", "id", "y").limit(sample)
+    chosen = first_by_hash(chosen, "h", sample, chosen.count(), "id", "y")
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     # At most `sample` rows of 20 bytes are broadcast, so that the texts aren't shuffled.
     rows = texts.join(F.broadcast(chosen), "id").select("h", "id", "y", "text")
