@@ -1,4 +1,568 @@
-"""Every query of the library by name, and the SQL that gives the same rows."""
+"""Every query of the library by name, and SQL for DuckDB that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The driver's tables have no regulations, so both sides derive them: regulation_type is lang, chemical_type is source,
+and the priority goes by doc_id. Sessions, audit records, warehouse and ticket rows come from conversations, events,
+part and orders in the same way.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnflow.functions import rules, text, tools
+from tarnflow.operators import audit, dialog, index, rerank, retrieve
+from tarnflow.sources import corpus
+from tarnflow.streaming import logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+QUERY, ENGLISH = "the station of there", ("the", "station", "worthless", "license")
+NOW = "2024-06-01 00:00:00"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a table that has few row groups, so that its scan isn't one task; larger tables stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    level = F.element_at(F.array(F.lit("高"), F.lit("中"), F.lit("低")), (F.col("doc_id") % 3 + 1).cast("int"))
+    df = df.select("doc_id", F.col("text").alias("content"), F.col("lang").alias("regulation_type"), level.alias("priority"), F.col("source").alias("chemical_type"))
+    return spread(df, "doc_id")
+
+
+DOCS = """docs AS (
+    SELECT doc_id, text AS content, lang AS regulation_type, source AS chemical_type,
+        CASE doc_id % 3 WHEN 0 THEN '高' WHEN 1 THEN '中' ELSE '低' END AS priority FROM documents)"""
+#: The delimiters, as DuckDB's regular expressions have them.
+CLASS = r"""[\s,.\-_()\[\]，。：:；"、！？!?]+"""
+TOKENS = f"""parts AS (
+    SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '{CLASS}')) AS p FROM docs) WHERE p <> ''),
+tokens AS (
+    SELECT doc_id, unnest(list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1)))) AS term FROM parts)"""
+BM25 = f"""{DOCS}, {TOKENS},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY doc_id, term),
+len AS (SELECT d.doc_id, coalesce(c.n, 0) AS n FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id) c USING (doc_id)),
+stats AS (SELECT count(*) AS n, avg(n) AS mean FROM len),
+q AS (
+    SELECT term, count(*) AS times FROM (
+        SELECT unnest(list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1)))) AS term
+        FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS p)) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+scores AS (
+    SELECT tf.doc_id, sum(q.times * ln((s.n - df.df + 0.5) / (df.df + 0.5) + 1) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * len.n / s.mean))) AS score
+    FROM tf JOIN q USING (term) JOIN df USING (term) JOIN len ON len.doc_id = tf.doc_id CROSS JOIN stats s GROUP BY tf.doc_id)"""
+
+
+def _top(k: int) -> str:
+    return f"top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM scores ORDER BY score DESC, doc_id LIMIT {k})"
+
+
+# --- tokens and index
+
+
+@query(f"""WITH {DOCS}, p AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '{CLASS}'), lambda x: x <> '') AS ps FROM docs),
+    t AS (SELECT doc_id, flatten(list_transform(ps, lambda p: list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1))))) AS ts FROM p)
+    SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_string(ts, ' ')) AS token_md5 FROM t""")
+def tokenize_ngrams(spark, sf_dir):
+    t = documents(spark, sf_dir).select("doc_id", text.doc_len(F.col("content")).alias("n_tokens"), text.tokenize(F.col("content")).alias("t"))
+    return t.select("doc_id", "n_tokens", F.md5(F.array_join("t", " ").cast("binary")).alias("token_md5"))
+
+
+@query(f"WITH {DOCS}, {TOKENS} SELECT doc_id, term, count(*)::BIGINT AS tf FROM tokens GROUP BY doc_id, term")
+def term_freq(spark, sf_dir):
+    return index.postings(documents(spark, sf_dir)).select("doc_id", "term", "tf")
+
+
+@query(f"WITH {DOCS}, {TOKENS} SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM tokens GROUP BY term")
+def doc_freq(spark, sf_dir):
+    return index.doc_freq(index.postings(documents(spark, sf_dir)))
+
+
+@query(f"WITH {BM25} SELECT n AS n_docs, round(mean, 6) AS avg_doc_len FROM stats")
+def corpus_stats(spark, sf_dir):
+    return index.corpus_stats(documents(spark, sf_dir)).select("n_docs", F.round("avg_doc_len", 6).alias("avg_doc_len"))
+
+
+# --- retrieval
+
+
+def _scored(spark, sf_dir):
+    return retrieve.bm25_scores(documents(spark, sf_dir), QUERY)
+
+
+@query(f"WITH {BM25}, {_top(10)} SELECT doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top")
+def bm25_topk(spark, sf_dir):
+    return retrieve.top(_scored(spark, sf_dir), 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0")
+def bm25_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0")
+def bm25_indexed(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return retrieve.bm25_indexed(index.postings(docs), index.doc_stats(docs), QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_PASS = "(chemical_type IS NULL OR chemical_type = '通用' OR lower(chemical_type) = 'src3') AND (regulation_type IS NULL OR lower(regulation_type) = 'en')"
+
+
+@query(f"WITH {BM25}, {_top(100)} SELECT doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top JOIN docs USING (doc_id) WHERE {_PASS}")
+def bm25_filtered(spark, sf_dir):
+    hits = retrieve.top(_scored(spark, sf_dir), 100).where(rerank.passes("SRC3", "EN"))
+    return hits.select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _rerank_sql(priority: str, fetch: int, terms: bool, where: str = "TRUE") -> str:
+    bonus = " + ".join(f"CASE WHEN contains(lower(content), '{t}') THEN 50 ELSE 0 END" for t in ENGLISH) if terms else "0"
+    return f"""WITH {BM25}, {_top(fetch)}
+    SELECT doc_id, rank::INTEGER AS rank, round(score, 6) AS score, (row_number() OVER (ORDER BY b DESC, rank) - 1)::INTEGER AS position FROM (
+        SELECT doc_id, rank, score, score + {priority} + {bonus} AS b FROM top JOIN docs USING (doc_id) WHERE {where} ORDER BY b DESC, rank LIMIT 10)"""
+
+
+def _reranked(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "rank", F.round("score", 6).alias("score"), "position")
+
+
+_LEVEL = "CASE priority WHEN '高' THEN 3000 WHEN '中' THEN 2000 WHEN '低' THEN 1000 ELSE 0 END"
+
+
+@query(_rerank_sql(_LEVEL, 20, True))
+def rerank_by_level(spark, sf_dir):
+    return _reranked(rerank.regulations(_scored(spark, sf_dir), 10, terms=ENGLISH))
+
+
+@query(_rerank_sql("0", 20, True))
+def rerank_by_type(spark, sf_dir):
+    return _reranked(rerank.regulations(_scored(spark, sf_dir), 10, priorities=rerank.PRIORITY_BY_TYPE, terms=ENGLISH))
+
+
+@query(_rerank_sql(_LEVEL, 20, True, "regulation_type IS NULL OR lower(regulation_type) = 'en'"))
+def rerank_filtered(spark, sf_dir):
+    return _reranked(rerank.regulations(_scored(spark, sf_dir), 10, regulation="en", terms=ENGLISH))
+
+
+@query(_rerank_sql("0", 30, False))
+def rerank_simple(spark, sf_dir):
+    return _reranked(rerank.simple(_scored(spark, sf_dir), 10))
+
+
+CHUNKS = """paras AS (
+    SELECT doc_id, trim(p) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+        SELECT doc_id, unnest(regexp_split_to_array(text, '[\\r\\n]')) AS p, generate_subscripts(regexp_split_to_array(text, '[\\r\\n]'), 1) AS i FROM documents)
+    WHERE trim(p) <> ''),
+walk AS (
+    SELECT doc_id, i, p, length(p) AS size, 0 AS chunk FROM paras WHERE i = 1
+    UNION ALL
+    SELECT n.doc_id, n.i, n.p, CASE WHEN w.size + length(n.p) > 500 AND w.size > 0 THEN length(n.p) ELSE w.size + length(n.p) END,
+        CASE WHEN w.size + length(n.p) > 500 AND w.size > 0 THEN w.chunk + 1 ELSE w.chunk END
+    FROM walk w JOIN paras n ON n.doc_id = w.doc_id AND n.i = w.i + 1),
+chunked AS (SELECT doc_id, chunk, string_agg(p, chr(10) ORDER BY i) AS content FROM walk GROUP BY doc_id, chunk)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk::INTEGER AS chunk, length(content)::BIGINT AS n_chars, md5(content) AS content_md5 FROM chunked")
+def chunk_split(spark, sf_dir):
+    c = corpus.chunked(documents(spark, sf_dir))
+    return c.select("doc_id", "chunk", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"WITH RECURSIVE {CHUNKS}, {BM25.replace(DOCS, 'docs AS (SELECT doc_id * 100000 + chunk AS doc_id, content FROM chunked)')}, {_top(10)} SELECT doc_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top")
+def chunk_bm25(spark, sf_dir):
+    c = corpus.chunked(documents(spark, sf_dir)).withColumn("doc_id", F.col("doc_id") * 100000 + F.col("chunk"))
+    return retrieve.top(retrieve.bm25_scores(c, QUERY), 10).select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+VECTOR = tuple(round(0.5 - (i * 37 % 64) / 64, 6) for i in range(64))
+_COSINE = "list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[])"
+
+
+def _embedded(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return documents(spark, sf_dir).join(v, "doc_id", "left")
+
+
+@query(f"SELECT vec_id AS doc_id, (row_number() OVER (ORDER BY 1 - s, vec_id) - 1)::INTEGER AS rank, round(s, 5) AS score FROM (SELECT vec_id, {_COSINE} AS s FROM embeddings WHERE embedding IS NOT NULL ORDER BY 1 - s, vec_id LIMIT 10)")
+def vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return retrieve.vector(v, VECTOR, 10).select("doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+_NEAR = f"near AS (SELECT *, row_number() OVER (ORDER BY 1 - score, doc_id) - 1 AS rank FROM (SELECT d.doc_id, d.content, {_COSINE} AS score FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id WHERE embedding IS NOT NULL) ORDER BY 1 - score, doc_id LIMIT 20)"
+
+
+def _hybrid_sql(near: str) -> str:
+    return f"""WITH {BM25}, {_top(20)}, {near},
+    b AS (SELECT * FROM (SELECT substr(content, 1, 100) AS key, doc_id, score, rank, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY rank DESC) AS n FROM top JOIN docs USING (doc_id)) WHERE n = 1),
+    v AS (SELECT * FROM (SELECT substr(content, 1, 100) AS key, doc_id, score, rank, row_number() OVER (PARTITION BY substr(content, 1, 100) ORDER BY rank DESC) AS n FROM near) WHERE n = 1),
+    m AS (SELECT coalesce(b.doc_id, v.doc_id) AS doc_id, 0.5 * coalesce(b.score, 0) + 0.5 * coalesce(v.score, 0) AS score, b.rank AS br, v.rank AS vr FROM b FULL OUTER JOIN v USING (key))
+    SELECT doc_id, (row_number() OVER (ORDER BY score DESC, br NULLS LAST, vr NULLS LAST) - 1)::INTEGER AS rank, round(score, 5) AS score, 'Hybrid' AS method
+    FROM m ORDER BY score DESC, br NULLS LAST, vr NULLS LAST LIMIT 10"""
+
+
+def _mode(spark, sf_dir, mode, vector=VECTOR):
+    found = retrieve.search(_embedded(spark, sf_dir), QUERY, vector, 10, mode)
+    return found.select("doc_id", "rank", F.round("score", 5).alias("score"), "method")
+
+
+@query(_hybrid_sql(_NEAR))
+def hybrid_topk(spark, sf_dir):
+    return _mode(spark, sf_dir, "Hybrid")
+
+
+@query(_hybrid_sql("near AS (SELECT top.doc_id, content, score, rank FROM top JOIN docs USING (doc_id))"))
+def hybrid_fallback(spark, sf_dir):
+    return _mode(spark, sf_dir, "hybrid", None)
+
+
+@query(f"WITH {BM25}, {_top(10)} SELECT doc_id, rank::INTEGER AS rank, round(score, 5) AS score, 'BM25' AS method FROM top")
+def search_mode_bm25(spark, sf_dir):
+    return _mode(spark, sf_dir, "BM25")
+
+
+@query(f"WITH {DOCS}, {_NEAR} SELECT doc_id, rank::INTEGER AS rank, round(score, 5) AS score, 'Vector' AS method FROM near WHERE rank < 10")
+def search_mode_vector(spark, sf_dir):
+    return _mode(spark, sf_dir, "vector")
+
+
+_WORDS = ("worthless", "idiot", "license", "token")
+
+
+def _keyword_sql(words: tuple[str, ...]) -> str:
+    hits = " + ".join(f"contains(lower(text), '{w}')::INTEGER" for w in words)
+    return f"""WITH h AS (SELECT doc_id, {hits} AS hits FROM documents),
+    b AS (SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 3)
+    SELECT * FROM b UNION ALL (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM b) ORDER BY doc_id LIMIT 3)"""
+
+
+@query(_keyword_sql(_WORDS[:3]))
+def keyword_topk(spark, sf_dir):
+    return retrieve.keyword_top(documents(spark, sf_dir), "worthless idiot under a license", _WORDS, ("token",)).select("doc_id", "hits")
+
+
+@query(_keyword_sql(("主轴", "温度")))
+def keyword_fallback(spark, sf_dir):
+    return retrieve.keyword_top(documents(spark, sf_dir), "nothing known", ("故障",), ("主轴", "温度")).select("doc_id", "hits")
+
+
+# --- texts and rules
+
+
+def _said(df: DataFrame) -> DataFrame:
+    said = F.element_at(F.array(F.lit("检查温度 205.5 ℃"), F.lit("我叫张三，你叫王工。"), F.lit("阈值≤ 180℃"), F.lit("hello")), (F.col("turn") % 4 + 1).cast("int"))
+    return df.select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.concat(said, F.lit("\n1. "), "text", F.lit("\nA) x【注】 y")).alias("content"))
+
+
+def conversations(spark, sf_dir):
+    return _said(table(spark, sf_dir, "conversations"))
+
+
+TURNS = """turns AS (
+    SELECT conv_id::VARCHAR AS session_id, turn, role,
+        CASE turn % 4 WHEN 0 THEN '检查温度 205.5 ℃' WHEN 1 THEN '我叫张三，你叫王工。' WHEN 2 THEN '阈值≤ 180℃' ELSE 'hello' END
+            || chr(10) || '1. ' || text || chr(10) || 'A) x【注】 y' AS content FROM conversations)"""
+
+
+def _clean(x: str, letter: bool) -> str:
+    line = f"regexp_replace(regexp_replace(l, '^\\s*\\d+\\.\\s*', '', 'g'), '【.*?】\\s*', '', 'g')"
+    line = f"regexp_replace({line}, '^\\s*[A-Z]\\)\\s*', '', 'g')" if letter else line
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '</?think>', '', 'g'), '[\\r\\n]+'), lambda l: trim({line}, ' ' || chr(9))), lambda y: y <> ''), chr(10))"
+
+
+@query(f"WITH {TURNS} SELECT session_id, turn, CASE WHEN regexp_matches(lower(content), '{'|'.join(rules.INDUSTRIAL)}') THEN 'IndustrialDiagnostic' ELSE 'SimpleChat' END AS intent FROM turns")
+def intent_route(spark, sf_dir):
+    return conversations(spark, sf_dir).select("session_id", "turn", rules.intent(F.col("content")).alias("intent"))
+
+
+@query(f"WITH {TURNS} SELECT session_id, turn, md5({_clean('content', True)}) AS once, md5({_clean(_clean('content', True), True)}) AS twice FROM turns")
+def clean_content(spark, sf_dir):
+    c = text.clean_content(F.col("content"))
+    return conversations(spark, sf_dir).select("session_id", "turn", F.md5(c.cast("binary")).alias("once"), F.md5(text.clean_content(c).cast("binary")).alias("twice"))
+
+
+@query(f"WITH {TURNS} SELECT session_id, turn, {_clean('content', False)} AS content FROM turns")
+def clean_line(spark, sf_dir):
+    return conversations(spark, sf_dir).select("session_id", "turn", text.clean_line(F.col("content")).alias("content"))
+
+
+@query("""WITH p AS (SELECT page_id, 'x<think>' || html || '</think>b<think>' || url AS x FROM pages)
+    SELECT page_id, regexp_replace(regexp_replace(x, '(?s)<think>.*?(</think>|$)', '', 'g'), '</think>', '', 'g') AS content FROM p""")
+def strip_think(spark, sf_dir):
+    x = F.concat(F.lit("x<think>"), "html", F.lit("</think>b<think>"), "url")
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_think(x).alias("content"))
+
+
+def _values(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+
+
+CALLS = ("【工具调用】: GetSpindleTemperature,GetTemperatureThreshold", "【工具调用】:无", "先看【工具调用】:Calculate(1+2), -,WebSearch", "没有标记 GetCurrentTime", "no")
+
+
+@query("""SELECT * FROM (VALUES
+    (0, [': GetSpindleTemperature', 'GetTemperatureThreshold'], ['GetSpindleTemperature', 'GetTemperatureThreshold']),
+    (1, [':无'], []), (2, [':Calculate(1+2)', 'WebSearch'], ['Calculate(1+2)', 'WebSearch']), (3, [], []), (4, [], [])) t(n, strict, clean)""")
+def parse_tools_a(spark, sf_dir):
+    x = F.col("x")
+    return _values(spark, *CALLS).select("n", rules.tools_marked(x, strict=True).alias("strict"), rules.tools_marked(x).alias("clean"))
+
+
+@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, ['无']), (2, ['Calculate1+2', 'WebSearch']), (3, []), (4, [])) t(n, tools)""")
+def parse_tools_b(spark, sf_dir):
+    return _values(spark, *CALLS).select("n", rules.tools_stripped(F.col("x")).alias("tools"))
+
+
+@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, []), (2, ['Calculate1+2', 'WebSearch']), (3, []), (4, [])) t(n, tools)""")
+def parse_tools_c(spark, sf_dir):
+    return _values(spark, *CALLS).select("n", rules.tools_squeezed(F.col("x")).alias("tools"))
+
+
+@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, []), (2, ['Calculate', 'WebSearch']), (3, ['GetCurrentTime']), (4, []), (5, [])) t(n, tools)""")
+def parse_tools_d(spark, sf_dir):
+    return _values(spark, *CALLS, "不需要 GetCurrentTime").select("n", rules.tools_named(F.col("x")).alias("tools"))
+
+
+@query("""SELECT * FROM (VALUES (0, true, ['GetCurrentTime', 'Calculate']), (1, true, []), (2, true, ['WebSearch']), (3, false, [])) t(n, needs_tools, tool_names)""")
+def parse_tools_e(spark, sf_dir):
+    v = _values(spark, "需要工具: 是\n工具列表: GetCurrentTime, Calculate,无,GetCurrentTime", "需要工具:否", "需要工具: WebSearch", "其他")
+    return v.select("n", F.inline(F.array(rules.tools_planned(F.col("x")))))
+
+
+@query(f"""WITH {TURNS} SELECT session_id, turn, contains(content, '温度') OR contains(content, '阈值') AS needs_tools,
+    CASE WHEN contains(content, '温度') OR contains(content, '阈值') THEN 'GetSpindleTemperature,GetTemperatureThreshold' ELSE '' END AS tools FROM turns""")
+def tool_plan(spark, sf_dir):
+    p = conversations(spark, sf_dir).withColumn("p", rules.tool_plan(F.col("content")))
+    return p.select("session_id", "turn", F.col("p.needs_tools").alias("needs_tools"), F.array_join("p.tool_names", ",").alias("tools"))
+
+
+@query(f"""WITH {TURNS} SELECT session_id, turn, tool, CASE tool WHEN 'GetTemperatureThreshold' THEN '{tools.THRESHOLD}' ELSE '未知工具: ' || tool END AS result
+    FROM (SELECT session_id, turn, unnest(['GetTemperatureThreshold', 'Unknown']) AS tool FROM turns WHERE turn % 4 = 0)""")
+def tool_call(spark, sf_dir):
+    calls = conversations(spark, sf_dir).where("turn % 4 = 0").select("session_id", "turn", F.explode(F.array(F.lit("GetTemperatureThreshold"), F.lit("Unknown"))).alias("tool"))
+    return tools.call(calls, spark.createDataFrame([("GetTemperatureThreshold", tools.THRESHOLD)], "tool string, result string")).select("session_id", "turn", "tool", "result")
+
+
+@query("""SELECT * FROM (VALUES (0, '你叫 李工，我叫 王工！'), (1, '你叫 李工！'), (2, '我叫 王工，你叫 李工！'), (3, '你好！之前检查的温度是 205.5 ℃。还有什么需要我帮你的吗？'), (4, '安全阈值是 ≤ 180℃。'), (5, NULL)) t(n, answer)""")
+def memory_answer(spark, sf_dir):
+    rows = [(0, "我是谁？", "李工", "王工", None, None), (1, "我的名字", "李工", None, None, None), (2, "你是谁", "李工", "王工", None, None), (3, "刚才温度多少", None, None, "205.5 ℃", None), (4, "安全吗", None, None, None, "≤ 180℃"), (5, "你叫什么", None, None, None, None)]
+    v = spark.createDataFrame(rows, "n int, q string, u string, a string, s string, l string")
+    return v.select("n", rules.memory_answer(*map(F.col, "quasl")).alias("answer"))
+
+
+@query("""SELECT * FROM (VALUES (0, '李工', '王工'), (1, '谁？', NULL), (2, '李工程师', NULL), (3, NULL, NULL)) t(n, user_name, assistant_name)""")
+def name_extract(spark, sf_dir):
+    v = _values(spark, "你好，我叫李工，你叫王工", "我是谁？", "我叫李工程师", "hello")
+    return v.select("n", rules.user_name(F.col("x")).alias("user_name"), rules.assistant_name(F.col("x")).alias("assistant_name"))
+
+
+@query(f"""WITH {TURNS} SELECT session_id, turn, CASE WHEN turn % 4 = 0 THEN nullif(regexp_extract(content, '(\\d+(\\.\\d+)?)\\s*℃', 0), '') END AS temperature,
+    CASE WHEN turn % 4 = 2 THEN nullif(regexp_extract(content, '≤?\\s*(\\d+(\\.\\d+)?)\\s*℃', 0), '') END AS threshold FROM turns""")
+def fact_regex(spark, sf_dir):
+    c = F.col("content")
+    return conversations(spark, sf_dir).select("session_id", "turn", rules.temperature(c).alias("temperature"), rules.threshold(c).alias("threshold"))
+
+
+@query(f"""WITH {TURNS}, f AS (
+    SELECT session_id, turn, 'user_name' AS key, '张三' AS value FROM turns WHERE role = 'user' AND turn % 4 = 1
+    UNION ALL SELECT session_id, turn, 'assistant_name', '王工' FROM turns WHERE role = 'user' AND turn % 4 = 1
+    UNION ALL SELECT session_id, turn, '主轴温度', '205.5 ℃' FROM turns WHERE role = 'assistant' AND turn % 4 = 0
+    UNION ALL SELECT session_id, turn, '安全阈值', '≤ 180℃' FROM turns WHERE role = 'assistant' AND turn % 4 = 2)
+    SELECT session_id, key, arg_max(value, turn) AS value FROM f GROUP BY session_id, key""")
+def fact_latest(spark, sf_dir):
+    return dialog.latest(dialog.facts(conversations(spark, sf_dir)))
+
+
+@query("SELECT * FROM (VALUES (0, '甲苯'), (1, '通用'), (2, '硫酸'), (3, '甲苯')) t(n, chemical_type)")
+def file_classify(spark, sf_dir):
+    return _values(spark, "甲苯储存规范", "通则", "浓硫酸.txt", "盐酸与甲苯").select("n", rules.chemical_type(F.col("x")).alias("chemical_type"))
+
+
+@query("SELECT * FROM (VALUES (0, 0, '案例前言'), (0, 1, '案例1 a'), (0, 2, '案例2 b')) t(n, pos, content)")
+def case_split(spark, sf_dir):
+    return _values(spark, "前言案例1 a\n案例2 b").select("n", F.posexplode(corpus.cases(F.col("x"))).alias("pos", "content"))
+
+
+@query("SELECT * FROM (VALUES (0, '型号X1：安全阈值180，异常阈值200'), (2, '型号X2：安全阈值1，异常阈值2')) t(n, content)")
+def csv_threshold(spark, sf_dir):
+    return _values(spark, "X1,180,200", "bad,1", "X2,1,2,3").select("n", corpus.threshold_sentence(F.col("x")).alias("content")).where("content IS NOT NULL")
+
+
+@query("SELECT doc_id, lang AS regulation_type FROM documents WHERE lang IN ('en', 'de', 'fr')")
+def source_union(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "regulation_type")
+    first, *rest = [docs.where(F.col("regulation_type") == x) for x in ("en", "de", "fr")]
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT 0 AS n, 'a' || chr(10) || 'b' || chr(10) || 'u' || chr(10) || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'v' AS content")
+def web_results(spark, sf_dir):
+    v = _values(spark, '{"webPages": {"value": [{"name": "a", "snippet": "b", "url": "u"}, {"name": "c", "snippet": "d", "url": "v"}]}}')
+    return v.select("n", tools.web_results(F.col("x")).alias("content"))
+
+
+# --- sessions and audit
+
+
+@query(f"WITH {TURNS} SELECT session_id, turn, role, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM turns) WHERE n <= 3")
+def history_last_n(spark, sf_dir):
+    return dialog.last_turns(conversations(spark, sf_dir), 3)
+
+
+@query(f"""WITH {TURNS} SELECT session_id, '【对话上下文】' || chr(10) || string_agg(role || ': ' || {_clean('content', True)}, chr(10) ORDER BY turn) AS summary
+    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM turns) WHERE n <= 5 GROUP BY session_id""")
+def context_summary(spark, sf_dir):
+    return dialog.context(conversations(spark, sf_dir))
+
+
+@query(f"WITH {TURNS} SELECT session_id, count(*)::BIGINT AS n_turns FROM turns GROUP BY session_id")
+def history_count(spark, sf_dir):
+    return dialog.count(conversations(spark, sf_dir))
+
+
+@query("SELECT conv_id AS session_id, count(*)::BIGINT AS n_turns FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id")
+def known_sessions(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
+    return dialog.count(t.join(t.where("session_id % 2 = 0").select("session_id").distinct(), "session_id", "left_semi"))
+
+
+@query("SELECT user_id AS session_id, max(ts) AS last_updated FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 30 MINUTE")
+def session_expiry(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    s = e.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("last_updated"))
+    return dialog.expired(s.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))), F.col("now"), 1800).select("session_id", "last_updated")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def session_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return dialog.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "at").select("user_id", "event_id")
+
+
+def audit_log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("props").alias("details"), F.col("ts").alias("create_time"))
+
+
+_SPAN = "(SELECT min(ts) + INTERVAL 1 HOUR AS a, min(ts) + INTERVAL 49 HOUR AS b FROM events)"
+
+
+def _span(log: DataFrame):
+    """First time plus 1 and 49 hours: one row."""
+    a = log.agg((F.min("create_time") + F.expr("INTERVAL 1 HOUR")).alias("a"), (F.min("create_time") + F.expr("INTERVAL 49 HOURS")).alias("b")).first()
+    return a["a"], a["b"]
+
+
+@query(f"SELECT event_id AS id, user_id::VARCHAR AS user_id, event_type AS operation FROM events, {_SPAN} WHERE ts BETWEEN a AND b AND user_id <> -1")
+def audit_filter(spark, sf_dir):
+    log = audit_log(spark, sf_dir)
+    return audit.find(log, *_span(log)).select("id", "user_id", "operation")
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id = 7")
+def audit_user(spark, sf_dir):
+    return audit.find(audit_log(spark, sf_dir), user="7").select("id")
+
+
+@query(f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n,
+    string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] 用户:' || user_id || ' 操作:' || event_type || chr(10) || '  详情: ' || props, chr(10) ORDER BY ts DESC, event_id) AS report
+    FROM events, {_SPAN} WHERE ts BETWEEN a AND b GROUP BY 1""")
+def audit_report(spark, sf_dir):
+    log = audit_log(spark, sf_dir)
+    return audit.report(log, *_span(log))
+
+
+@query("SELECT event_id AS id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
+def audit_retention(spark, sf_dir):
+    log = audit_log(spark, sf_dir)
+    rows = log.crossJoin(F.broadcast(log.agg(F.max("create_time").alias("now"))))
+    return audit.retained(rows, F.col("now"), 10).select("id")
+
+
+# --- connectors and tools
+
+
+@query("SELECT p_name AS chemical_name, p_type AS chemical_type, p_retailprice AS quantity FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
+def warehouse_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.join(F.broadcast(p.agg(F.min("p_name").alias("p_name"))), "p_name").select(F.col("p_name").alias("chemical_name"), F.col("p_type").alias("chemical_type"), F.col("p_retailprice").alias("quantity"))
+
+
+@query("SELECT o_orderkey AS ticket_id, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F'")
+def ehs_filter(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderpriority").alias("priority"))
+
+
+@query("SELECT event_id, value > 180 AS above FROM events WHERE value IS NOT NULL")
+def sensor_threshold(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", (F.col("value") > 180).alias("above"))
+
+
+@query("SELECT * FROM (VALUES (0, 7.0::DOUBLE), (1, 9.0::DOUBLE), (2, -0.5::DOUBLE), (3, NULL), (4, NULL)) t(n, value)")
+def calculate(spark, sf_dir):
+    return _values(spark, "1+2*3", "(1 + 2) * 3", "-1/2", "1/0", "__import__('os')").select("n", tools.calculate("x").alias("value"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview FROM documents")
+def result_preview(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.preview(F.col("content")).alias("preview"))
+
+
+# --- streams
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in the cluster's checkpoint folder, else a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def audit_stream(spark, sf_dir):
+    """Copied through a stream in append mode. Streams read folders, so that a table that is one file is found by a pattern."""
+    schema = table(spark, sf_dir, "events").schema
+    base = shared_folder(spark)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    logs.append(source, f"{base}/log", f"{base}/state").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/log").select("event_id", "user_id", "event_type")
+
+
+@query(ORACLES["fact_latest"])
+def facts_stream(spark, sf_dir):
+    """Facts of each conversation as a stream keeps them; what it gives out last is the latest value."""
+    schema = table(spark, sf_dir, "conversations").schema
+    base = shared_folder(spark)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    changes = logs.latest_facts(dialog.facts(_said(source)))
+    logs.append(changes, f"{base}/log", f"{base}/state").awaitTermination()
+    return dialog.latest(spark.read.schema(changes.schema).parquet(f"{base}/log"))
