@@ -47,21 +47,20 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
         cut = np.where(at == size, 0.0, l1)
         return np.where(np.abs(part) <= cut, 0.0, (np.sign(part) * cut - part) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    rows = [np.append(r, size) for r in rows]
     for _ in range(epochs):
-        for at, label in zip(rows, y.tolist()):
+        for row, label in zip(rows, y.tolist()):
+            at = np.append(row, size)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             g *= positive if label else 1.0
             root = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
-    w = weights(np.arange(size + 1))
-    at = np.flatnonzero(w[:-1])
-    return at, w[at], float(w[-1])
+    at = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return at, weights(at), float(weights(np.array([size]))[0])
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = 8000, **settings) -> Weights:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = 6000, **settings) -> Weights:
     """Weights from at most `sample` labelled rows."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (F.lit(True) if learn is None else learn))
     chosen = chosen.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit("toxicity"), F.col(doc_id)).alias("h"))
@@ -72,12 +71,12 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "y": b["y"], "at": [np.unique(coordinates(t)).astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "at": [np.unique(coordinates(t)).astype(np.int32).tobytes() for t in b["text"]]})
 
-    got = rows.mapInPandas(run, "h long, y int, at array<int>").toPandas().sort_values("h", kind="stable")
+    got = rows.mapInPandas(run, "h long, y int, at binary").toPandas().sort_values("h", kind="stable")
     if got.empty:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    return ftrl([np.asarray(a, np.int64) for a in got["at"]], got["y"].to_numpy(float), **settings)
+    return ftrl([np.frombuffer(a, np.int32) for a in got["at"]], got["y"].to_numpy(float), **settings)
 
 
 def score(df: DataFrame, model: Weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
