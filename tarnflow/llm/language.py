@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import bucket_of
+from tarnflow.llm.common import bucket_of, first_by_hash
 
 WINDOW, BLOCK, UNKNOWN = 128, 1024, "und"
 Params = dict[str, np.ndarray]
@@ -154,7 +154,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     rows = df.where(F.col(label).isNotNull() & (n > 0) & (F.lit(True) if learn is None else learn))
     # Windows cut at hashed places all over the text.
     rows = rows.select(F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), *[F.substring(F.col(text), at(k).cast("int"), F.lit(WINDOW)).alias(f"w{k}") for k in range(4)])
-    got = rows.orderBy("h", "id", "w0").limit(sample).toPandas()
+    got = first_by_hash(rows, "h", sample, rows.count(), "id", "w0").toPandas()
     names = sorted(got["label"].unique())
     if not names:
         return [], {}

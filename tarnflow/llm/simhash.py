@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import cut, store
+from tarnflow.llm.common import cut, first_by_hash, store
 
 Tree = list[tuple[int, int, int, int]]  # (vantage point, radius, inside, outside); a child below 0 is leaf -child - 1
 
@@ -175,7 +175,8 @@ def edges(classes: DataFrame, bits: int, per_shard: int = 8192, sample: int = 65
     `sample` bounds the fingerprints that the driver sees to place the borders of the shards.
     """
     n = classes.count()
-    seen = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, max(1, n // 4))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    hashed = classes.select("fp", F.xxhash64("fp").alias("h"))
+    seen = first_by_hash(hashed, "h", min(sample, max(1, n // 4)), n, "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = build(seen, -(-n // per_shard), bits)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
