@@ -32,6 +32,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What names of a caller's columns start with while an operator adds columns of its own.
+GIVEN = "given_"
+
+
+def aside(df: DataFrame) -> DataFrame:
+    """df with its columns renamed, so that none has a name that is used inside."""
+    return df.toDF(*[GIVEN + c for c in df.columns])
+
+
+def given(column: str) -> Column:
+    """A column of `aside`, by its own name."""
+    return F.col(f"`{GIVEN}{column}`")
+
+
+def back(df: DataFrame) -> DataFrame:
+    """The columns of `aside` by their own names again."""
+    return df.toDF(*[c.removeprefix(GIVEN) for c in df.columns])
+
+
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

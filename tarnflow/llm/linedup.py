@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import store, words
+from tarnflow.llm.common import GIVEN, aside, back, given, store, words
 
 #: Fixed values of the rolling hash.
 BASE, MODULUS = 31, 2147483647
@@ -69,15 +69,15 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: in
     """df with its texts freed of repeated chunks, and `n_chunks` and `n_removed`."""
     gone = removals(df, doc_id, text, divisor, min_words).groupBy("id", "t").agg(F.collect_set("k").alias("gone"))
     gone = gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
-    columns = [F.col(c) for c in df.columns if c not in (text, "n_chunks", "n_removed")]
-    rows = df.join(gone, df[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text]) == F.col("_t")), "left")
-    rows = with_chunks(rows, text, divisor, min_words)
+    columns = [given(c) for c in df.columns if c not in (text, "n_chunks", "n_removed")]
+    rows = aside(df).join(gone, given(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(given(text)) == F.col("_t")), "left")
+    rows = with_chunks(rows, f"`{GIVEN}{text}`", divisor, min_words)
     left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_gone"))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_chunks", k)["body"]), "\n"))
-    n_chunks = F.when(F.col(text).isNull(), 0).otherwise(F.size("_chunks")).cast("long")
+    cleaned = F.when(F.col("_gone").isNull(), given(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_chunks", k)["body"]), "\n"))
+    n_chunks = F.when(given(text).isNull(), 0).otherwise(F.size("_chunks")).cast("long")
     results = F.struct(cleaned.alias(text), n_chunks.alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
     # A generator of one row, so that filters on the results aren't rewritten into all of their computation.
-    return rows.select(*columns, F.inline(F.array(results)))
+    return back(rows.select(*columns, F.inline(F.array(results))))
 
 
 def sql(divisor: int = 4, min_words: int = 50) -> str:

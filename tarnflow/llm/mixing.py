@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import store, words
+from tarnflow.llm.common import aside, back, given, store, words
 
 RANGES = 4096
 RESULTS = ("size", "source_size", "target", "copies", "part", "taken")
@@ -46,8 +46,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
     """df with size, source_size, target, copies (whole), part (words of one more, partial copy) and taken."""
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    key = df.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), place.alias("place"))
+    place = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(i.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    key = df.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), place(F.col(doc_id)).alias("place"))
     key = store(key.withColumn("range", F.shiftright("place", 60 - 12)))
     ranges = store(key.groupBy("source", "range").agg(F.sum("size").alias("size")))
     goal = targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
@@ -63,14 +63,14 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     rows = key.join(edge.hint("merge"), key["source"].eqNullSafe(edge["s"]) & (key["range"] == edge["b"])).groupBy("source", "place", "id", "need", "start").agg(F.sum("size").alias("size"))
     upto = F.col("start") + F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("place", F.col("id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.select(F.col("source").alias("es"), F.col("id").alias("eid"), F.col("size").alias("held"), F.greatest(F.lit(0), F.least("size", F.col("need") - upto)).alias("give"))
-    kept = [F.col(c) for c in df.columns if c not in RESULTS]
-    out = df.select(*kept, place.alias("_p"), F.size(words(F.col(text))).cast("long").alias("size"))
-    out = out.join(spans.hint("merge"), out[source].eqNullSafe(spans["s"]) & (F.shiftright("_p", 60 - 12) == spans["b"]))
-    out = out.join(rows.hint("merge"), out[source].eqNullSafe(rows["es"]) & out[doc_id].eqNullSafe(rows["eid"]) & (F.col("end") > F.col("need")), "left")
+    kept = [c for c in df.columns if c not in RESULTS]
+    out = aside(df).withColumn("size", F.size(words(given(text))).cast("long")).withColumn("range", F.shiftright(place(given(doc_id)), 60 - 12))
+    out = out.join(spans.hint("merge"), given(source).eqNullSafe(F.col("s")) & (F.col("range") == F.col("b")))
+    out = out.join(rows.hint("merge"), given(source).eqNullSafe(F.col("es")) & given(doc_id).eqNullSafe(F.col("eid")) & (F.col("end") > F.col("need")), "left")
     part = F.when(F.col("end") <= F.col("need"), F.col("size")).when(F.col("start") >= F.col("need"), 0)
     part = part.otherwise(F.coalesce(F.when(F.col("give") >= F.col("held"), F.col("size")).otherwise(F.floor(F.col("give") * F.col("size") / F.col("held"))), F.lit(0))).cast("long")
-    out = out.select(*kept, "size", "source_size", "target", "copies", part.alias("part"))
-    return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+    out = out.select(*map(given, kept), "size", "source_size", "target", "copies", part.alias("part"))
+    return back(out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part")))
 
 
 def sql() -> str:

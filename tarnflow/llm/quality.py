@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import words
+from tarnflow.llm.common import aside, back, given, words
 
 SYMBOLS = "#*$%&|<>"
 BARS = "|>»·•"
@@ -63,12 +63,14 @@ def line_fails(line: Column, separators: int = 3, symbol_share: float = 0.1) ->
 
 def clean(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """Add `clean_text` (without the failing lines), `lost` (share of characters removed) and `line_kept`."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_lines", F.split(value, "\n"))
-    df = df.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-    df = df.withColumn("clean_text", F.when(F.size("_good") == F.size("_lines"), value).otherwise(F.array_join("_good", "\n"))).drop("_lines", "_good")
+    value = F.coalesce(given(text), F.lit(""))
+    rows = aside(df).withColumn("_lines", F.split(value, "\n"))
+    rows = rows.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
+    rows = rows.withColumn("clean_text", F.when(F.size("_good") == F.size("_lines"), value).otherwise(F.array_join("_good", "\n"))).drop("_lines", "_good")
     full = F.length(value)
-    return df.withColumn("lost", F.when(full > 0, 1 - F.length("clean_text") / full).otherwise(0.0)).withColumn("line_kept", F.col("lost") <= max_lost)
+    rows = rows.withColumn("lost", F.when(full > 0, 1 - F.length("clean_text") / full).otherwise(0.0)).withColumn("line_kept", F.col("lost") <= max_lost)
+    kept = [given(c) for c in df.columns if c not in ("clean_text", "lost", "line_kept")]
+    return back(rows.select(*kept, "clean_text", "lost", "line_kept"))
 
 
 def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_lost: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ Exact at every size: the sample decides how evenly shards fill, never which pair
 
 Defined cases: a null or blank text has fingerprint zero, linked like any other; rows with equal fingerprints share a
 component; null ids are ignored for the component's name unless a component has no other; an empty table gives an
-empty one; columns besides the two named are ignored.
+empty one; columns besides the two named are ignored by `near_duplicates` and kept by `dedup`.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import cut, first_by_hash, store
+from tarnflow.llm.common import GIVEN, aside, back, cut, first_by_hash, given, store
 
 Tree = list[tuple[int, int, int, int]]  # (vantage point, radius, inside, outside); a child below 0 is leaf -child - 1
 
@@ -47,15 +47,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, t, fp): t is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(x, shingle, seed) for x in b["text"]], np.uint64)
-            yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "t": b["t"], "fp": fp.view(np.int64)})
 
-    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(run, "id long, t long, fp long")
 
 
 def far(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -218,13 +218,29 @@ def components(edge: DataFrame) -> DataFrame:
         state = store(offers.groupBy("o.id").agg(F.min("o.p").alias("p")))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for each row of df."""
+def components_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(id, t, fp, root, component_id), one row for each row of df; root is the component's smallest fingerprint."""
     rows = cut(fingerprints(df, doc_id, text, shingle, seed))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")))
     label = components(edges(classes, bits))
     rooted = classes.join(label.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("p", "fp").alias("root"))
     rooted = store(rooted)
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = store(rooted.join(named, "root").select("fp", "component_id"))
-    return rows.join(names.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = store(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return rows.join(names.hint("merge"), "fp").select("id", "t", "fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row for each row of df."""
+    found = components_of(df, doc_id, text, bits, shingle, seed)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of df that stay: of each component the one with the smallest id, nulls last; of repeated rows one."""
+    found = components_of(df, doc_id, text, bits, shingle, seed)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("first"))
+    first = store(first.select(F.col("first.id").alias("id"), F.col("first.t").alias("t")).distinct())
+    rows = aside(df).withColumn("of", F.xxhash64(given(text)))
+    rows = rows.join(first, given(doc_id).cast("long").eqNullSafe(F.col("id")) & (F.col("of") == F.col("t")), "left_semi")
+    return back(rows.dropDuplicates([GIVEN + doc_id, "of"]).drop("of"))
