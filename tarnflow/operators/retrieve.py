@@ -64,9 +64,9 @@ def bm25(docs: DataFrame, query: str, k: int = 5) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in doubles."""
+    """Cosine similarity in doubles; null where a vector is all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def vector(docs: DataFrame, query: Sequence[float], k: int = 5, embedding: str = "embedding") -> DataFrame:
