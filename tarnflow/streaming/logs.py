@@ -27,10 +27,11 @@ def sessions(stream: DataFrame, key: str, at: str, gap: str = "30 minutes", late
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def latest_facts(stream: DataFrame, schema: str = "session_id string, key string, value string, turn long", minutes: int = 60) -> DataFrame:
+def latest_facts(stream: DataFrame, schema: str = "session_id string, key string, value string, turn long", minutes: int | None = None) -> DataFrame:
     """Changes of facts (session_id, key, value, turn): a value is given out when its turn is later than the one held.
 
-    State is one value per session and key, and leaves after `minutes` without a record.
+    State is one value per session and key. With `minutes` it leaves after so long without a record; such a query never
+    ends by itself, so runs over what is there (`availableNow`) give none.
     """
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,9 +44,10 @@ def latest_facts(stream: DataFrame, schema: str = "session_id string, key string
             row = b.loc[b["turn"].idxmax()]
             if row["turn"] > best[1]:
                 best = (row["value"], int(row["turn"]))
-        state.setTimeoutDuration(minutes * 60_000)
+        if minutes:
+            state.setTimeoutDuration(minutes * 60_000)
         if best != held:
             state.update(best)
             yield pd.DataFrame({"session_id": [group[0]], "key": [group[1]], "value": [best[0]], "turn": [best[1]]})
 
-    return stream.groupBy("session_id", "key").applyInPandasWithState(update, schema, "value string, turn long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("session_id", "key").applyInPandasWithState(update, schema, "value string, turn long", "append", GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout)
