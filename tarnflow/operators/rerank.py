@@ -41,8 +41,8 @@ def bonus(priorities: Mapping[str, int], terms: tuple[str, ...] = TERMS) -> Colu
 
 
 def rerank(hits: DataFrame, k: int, priorities: Mapping[str, int] = PRIORITY_BY_LEVEL, terms: tuple[str, ...] = TERMS) -> DataFrame:
-    """hits by score and bonus, with `position`; score and rank stay what they were."""
-    scored = hits.withColumn("_bonus", F.col("score") + bonus(priorities, terms))
+    """hits by score and bonus (equal to nine digits: by rank), with `position`; score and rank stay what they were."""
+    scored = hits.withColumn("_bonus", F.round(F.col("score") + bonus(priorities, terms), 9))
     order = [F.col("_bonus").desc(), F.col("rank")]
     best = scored.orderBy(*order).limit(k)
     return best.withColumn("position", (F.row_number().over(W.orderBy(*order)) - 1).cast("int")).drop("_bonus")

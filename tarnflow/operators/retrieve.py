@@ -54,9 +54,13 @@ def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
 
 
 def top(scored: DataFrame, k: int, doc_id: str = "doc_id", score: str = "score") -> DataFrame:
-    """The k best with rank from 0; equal scores go by id."""
-    best = scored.orderBy(F.col(score).desc(), doc_id).limit(k)
-    return best.withColumn("rank", (F.row_number().over(W.orderBy(F.col(score).desc(), doc_id)) - 1).cast("int"))
+    """The k best with rank from 0; equal scores go by id.
+
+    Scores are equal to nine digits: what is beyond depends on the order in which terms are added.
+    """
+    order = [F.round(score, 9).desc(), F.col(doc_id)]
+    best = scored.orderBy(*order).limit(k)
+    return best.withColumn("rank", (F.row_number().over(W.orderBy(*order)) - 1).cast("int"))
 
 
 def bm25(docs: DataFrame, query: str, k: int = 5) -> DataFrame:

@@ -77,7 +77,7 @@ scores AS (
 
 
 def _top(k: int) -> str:
-    return f"top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM scores ORDER BY score DESC, doc_id LIMIT {k})"
+    return f"top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM scores ORDER BY round(score, 9) DESC, doc_id LIMIT {k})"
 
 
 # --- tokens and index
@@ -143,7 +143,7 @@ def _rerank_sql(priority: str, fetch: int, terms: bool, where: str = "TRUE") ->
     bonus = " + ".join(f"CASE WHEN contains(lower(content), '{t}') THEN 50 ELSE 0 END" for t in ENGLISH) if terms else "0"
     return f"""WITH {BM25}, {_top(fetch)}
     SELECT doc_id, rank::INTEGER AS rank, round(score, 6) AS score, (row_number() OVER (ORDER BY b DESC, rank) - 1)::INTEGER AS position FROM (
-        SELECT doc_id, rank, score, score + {priority} + {bonus} AS b FROM top JOIN docs USING (doc_id) WHERE {where} ORDER BY b DESC, rank LIMIT 10)"""
+        SELECT doc_id, rank, score, round(score + {priority} + {bonus}, 9) AS b FROM top JOIN docs USING (doc_id) WHERE {where} ORDER BY b DESC, rank LIMIT 10)"""
 
 
 def _reranked(df: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tarnflow.functions import rules, text, tools
 from tarnflow.sources import corpus
 
-pytestmark = pytest.mark.skip("never seen to pass: a run of these tests did not end; to be looked into")
 
 
 def value(spark, x, f):
