@@ -53,9 +53,10 @@ RESULTS = "struct<webPages:struct<value:array<struct<name:string,snippet:string,
 
 
 def web_results(body: Column, n: int = 3) -> Column:
-    """The first n hits of a JSON answer as text."""
+    """The first n hits of a JSON answer as text: numbered title, summary and origin; a missing field is empty."""
     hits = F.slice(F.from_json(body, RESULTS)["webPages"]["value"], 1, n)
-    return F.array_join(F.transform(hits, lambda h: F.concat_ws("\n", h["name"], h["snippet"], h["url"])), "\n\n")
+    shown = lambda h, i: F.format_string("【%d】%s\n摘要：%s\n来源：%s\n\n", i + 1, *[F.coalesce(h[k], F.lit("")) for k in ("name", "snippet", "url")])
+    return F.array_join(F.transform(hits, shown), "")
 
 
 #: Name: description. The first two answer from a reading and a constant.

@@ -426,7 +426,7 @@ def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT 0 AS n, 'a' || chr(10) || 'b' || chr(10) || 'u' || chr(10) || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'v' AS content")
+@query("SELECT 0 AS n, replace('【1】a|摘要：b|来源：u||【2】c|摘要：d|来源：v||', '|', chr(10)) AS content")
 def web_results(spark, sf_dir):
     v = _values(spark, '{"webPages": {"value": [{"name": "a", "snippet": "b", "url": "u"}, {"name": "c", "snippet": "d", "url": "v"}]}}')
     return v.select("n", tools.web_results(F.col("x")).alias("content"))

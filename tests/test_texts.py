@@ -126,4 +126,4 @@ def test_tools(spark):
     reading = [r["y"] for r in spark.range(200).select(tools.sensor(3).alias("y")).collect()]
     assert 190 <= min(reading) and max(reading) <= 219
     assert spark.range(1).select(tools.current_time(F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("y")).first()["y"] == "2024年05月06日 07:08:09"
-    assert value(spark, '{"webPages": {"value": [' + ",".join(f'{{"name": "n{i}", "snippet": "s", "url": "u"}}' for i in range(5)) + "]}}", tools.web_results).count("n") == 3 + 2 * 5 - 3 - 7 + 7
+    assert value(spark, '{"webPages": {"value": [' + ",".join(f'{{"name": "n{i}", "snippet": "s", "url": "u"}}' for i in range(5)) + "]}}", tools.web_results) == "".join(f"【{i + 1}】n{i}\n摘要：s\n来源：u\n\n" for i in range(3))
