@@ -8,6 +8,12 @@ removed but for its first occurrence (by doc_id, then place). Equal hashes only
 Defined cases: a null text stays null and has no chunk; an empty text is one empty chunk that is never removed; rows
 that share doc_id and text count as one document and are treated alike; null ids sort first and are kept; other
 columns pass through, and `n_chunks` and `n_removed` replace columns of these names; an empty table gives an empty one.
+
+A repeated passage of short lines is often cut elsewhere than its first occurrence, so chunks leave most of such passages
+in place. `dedup_runs` takes out every repeated run of two lines or `min_words` words instead. Its anchors are all pairs
+of successive lines with words and all lines of `min_words` words; as each longer run consists of overlapping anchors,
+their union is every maximal run, whatever surrounds it. The cases above hold there too, `n_lines` being in the place of
+`n_chunks`; lines without a word between two lines of a pair go with it.
 """
 
 from __future__ import annotations
@@ -80,6 +86,54 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: in
     return back(rows.select(*columns, F.inline(F.array(results))))
 
 
+def _anchors(df: DataFrame, text: str, min_words: int) -> DataFrame:
+    """Add `_l`, the lines, and `_w`: array of (first, last) line of each anchor."""
+    df = df.withColumn("_l", F.split(F.col(text), "\n")).withColumn("_n", F.transform("_l", lambda x: F.size(words(x))))
+    df = df.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.get("_n", i) > 0))
+    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    # The last line with words pairs with none; null there, and filtered.
+    pairs = F.filter(F.transform("_i", lambda i, k: span(i, F.get("_i", k + 1))), lambda w: w["b"].isNotNull())
+    long = F.transform(F.filter("_i", lambda i: F.get("_n", i) >= min_words), lambda i: span(i, i))
+    return df.withColumn("_w", F.concat(pairs, long)).drop("_n", "_i")
+
+
+def _body(lines: str, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+
+
+def run_removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """One row (id, t, a, b) for each anchor, from line a to line b, that occurs earlier."""
+    docs = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = _anchors(docs, "text", min_words)
+    rows = rows.select("id", "t", F.explode_outer(F.transform("_w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.xxhash64(_body("_l", w["a"], w["b"])).alias("key")))).alias("w"))
+    rows = store(rows.where(F.col("w").isNotNull()).select("id", "t", "w.*"))
+    repeated = store(rows.groupBy("key").count().where("count > 1").select("key"))
+    # Bodies of the nominated anchors only.
+    named = rows.join(repeated.hint("merge"), "key").groupBy("id", "t").agg(F.collect_set(F.struct("a", "b", "key")).alias("w"))
+    named = named.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "w")
+    found = docs.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).withColumn("_l", F.split("text", "\n"))
+    found = found.select("id", "t", F.explode_outer(F.transform("w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["key"].alias("key"), _body("_l", w["a"], w["b"]).alias("body")))).alias("w"))
+    found = store(found.select("id", "t", "w.*"))
+    at = F.struct("id", "t", "a", "b")
+    first = store(found.groupBy("key", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return found.join(first.hint("merge"), ["key", "body"]).where(~at.eqNullSafe(F.col("first"))).select("id", "t", "a", "b")
+
+
+def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """df with its texts freed of every repeated run of two lines or `min_words` words, and `n_lines` and `n_removed`."""
+    gone = run_removals(df, doc_id, text, min_words).select("id", "t", F.explode(F.sequence("a", "b")).alias("k"))
+    gone = gone.groupBy("id", "t").agg(F.collect_set("k").alias("gone"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
+    columns = [given(c) for c in df.columns if c not in (text, "n_lines", "n_removed")]
+    rows = aside(df).join(gone, given(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(given(text)) == F.col("_t")), "left")
+    rows = rows.withColumn("_l", F.split(given(text), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
+    cleaned = F.when(F.col("_gone").isNull(), given(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_l", k)), "\n"))
+    n_lines = F.when(given(text).isNull(), 0).otherwise(F.size("_l")).cast("long")
+    results = F.struct(cleaned.alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return back(rows.select(*columns, F.inline(F.array(results))))
+
+
 def sql(divisor: int = 4, min_words: int = 50) -> str:
     """The same rows from DuckDB."""
     return rf"""

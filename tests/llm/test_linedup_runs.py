@@ -1,0 +1,70 @@
+import random
+
+import pytest
+
+from tarnflow.llm import linedup
+
+
+def brute(rows, min_words=50):
+    """{id: text} for rows with distinct ids: a line goes when an anchor that covers it occurs earlier."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.split()]
+        spans = [(a, b) for a, b in zip(full, full[1:])] + [(k, k) for k in full if len(lines[k].split()) >= min_words]
+        gone = set()
+        for a, b in sorted(spans):
+            body = "\n".join(lines[a : b + 1])
+            if body in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(body)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def prose(rng, words):
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(words))
+
+
+@pytest.mark.parametrize(("n", "words"), [(3, 18), (4, 15), (6, 10), (8, 10), (12, 10)])
+def test_whole_passages_go(documents, n, words):
+    rng = random.Random(n)
+    texts, kept = [], []
+    for _ in range(12):
+        passage = [prose(rng, words) for _ in range(n)]
+        for copy in range(2):
+            before, after = ([prose(rng, 9) for _ in range(rng.randint(1, 4))] for _ in range(2))
+            texts.append("\n".join([*before, *passage, *after]))
+            kept.append("\n".join([*before, *([] if copy else passage), *after]))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linedup.dedup_runs(documents(texts)).collect()}
+    assert got == {i: (x, n * (i % 2 == 0)) for i, x in enumerate(kept, 1)}
+
+
+def test_matches_brute_force(documents):
+    rng = random.Random(8)
+    line = lambda: rng.choice(["", "a", "b c", "d e f", prose(rng, 5), "x " * 50])
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 9)))) for i in range(1, 60)]
+    got = linedup.dedup_runs(documents([(i, t, None, "s", None) for i, t in rows])).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute(rows)
+
+
+def test_single_short_lines_and_blank_lines_stay(documents):
+    texts = ["one\n\ncommon line\n\ntwo", "three\n\ncommon line\n\nfour"]
+    assert {r["text"] for r in linedup.dedup_runs(documents(texts)).collect()} == set(texts)
+
+
+def test_odd_and_empty(odd, empty):
+    got = linedup.dedup_runs(odd)
+    assert got.count() == odd.count() and {"n_lines", "n_removed"} <= set(got.columns)
+    assert got.where("text is null").count() == odd.where("text is null").count()
+    assert linedup.dedup_runs(empty).count() == 0
+
+
+def test_stage_takes_whole_passages(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    passage = [prose(rng, 18) for _ in range(3)]
+    texts = ["\n".join([prose(rng, 9), *passage, prose(rng, 9)]) for _ in range(8)]
+    got = corpus_pipeline.line_dedup(spark, documents(texts), "").collect()
+    assert sum(passage[1] in r["text"] for r in got) == 1
