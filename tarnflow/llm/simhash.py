@@ -240,7 +240,12 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int =
     """The rows of df that stay: of each component the one with the smallest id, nulls last; of repeated rows one."""
     found = components_of(df, doc_id, text, bits, shingle, seed)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("first"))
-    first = store(first.select(F.col("first.id").alias("id"), F.col("first.t").alias("t")).distinct())
+    return only(df, first.select(F.col("first.id").alias("id"), F.col("first.t").alias("t")), doc_id, text)
+
+
+def only(df: DataFrame, first: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of df whose id and hash of the text are in `first` (id, t); of repeated rows one."""
+    first = store(first.distinct())
     rows = aside(df).withColumn("of", F.xxhash64(given(text)))
     rows = rows.join(first, given(doc_id).cast("long").eqNullSafe(F.col("id")) & (F.col("of") == F.col("t")), "left_semi")
     return back(rows.dropDuplicates([GIVEN + doc_id, "of"]).drop("of"))
