@@ -547,22 +547,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Stream of a table that is one file or a folder of part files. Streams take a single file by a pattern only."""
+    return logs.read(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema)
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def audit_stream(spark, sf_dir):
-    """Copied through a stream in append mode. Streams read folders, so that a table that is one file is found by a pattern."""
+    """Copied through a stream in append mode."""
     schema = table(spark, sf_dir, "events").schema
     base = shared_folder(spark)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    logs.append(source, f"{base}/log", f"{base}/state").awaitTermination()
+    logs.append(streamed(spark, sf_dir, "events"), f"{base}/log", f"{base}/state").awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/log").select("event_id", "user_id", "event_type")
 
 
 @query(ORACLES["fact_latest"])
 def facts_stream(spark, sf_dir):
     """Facts of each conversation as a stream keeps them; what it gives out last is the latest value."""
-    schema = table(spark, sf_dir, "conversations").schema
     base = shared_folder(spark)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    changes = logs.latest_facts(dialog.facts(_said(source)))
+    changes = logs.latest_facts(dialog.facts(_said(streamed(spark, sf_dir, "conversations"))))
     logs.append(changes, f"{base}/log", f"{base}/state").awaitTermination()
     return dialog.latest(spark.read.schema(changes.schema).parquet(f"{base}/log"))
