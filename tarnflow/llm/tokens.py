@@ -6,15 +6,17 @@ a Parquet table: part and block (its place), the documents' ids and lengths, and
 in the whole stream are sums over blocks, never over rows.
 
 Defined cases: a null or empty text is a document of the end id alone; null ids come first, and rows of one id are
-ordered by text; other columns are ignored; an empty table gives files without a block.
+ordered by a hash of the text; other columns are ignored; an empty table gives files without a block.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,8 @@ from tarnflow.llm.common import store
 #: Texts without these (only Latin, no controls) and without what starts a special token are the sum of their words:
 #: lower case works letter by letter there, and no piece of the tokenizer reaches over white space.
 ODD = re.compile(r"[^\t\n\x0b\f\r -~¡-įı-ɏ]")
-WORDS_KEPT = 800_000
+#: Words that a worker remembers, and characters of texts whose new words are read at once.
+WORDS_KEPT, AT_ONCE = 500_000, 1 << 22
 
 
 class Encoder:
@@ -38,27 +41,43 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are what runs side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end], np.uint32).tobytes(), {}
+        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), array("I", [end]).tobytes(), {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def __call__(self, text: str | None) -> bytes:
         """The text's ids and the end id, as u32."""
-        if not text:
-            return self.end
-        if "<|" in text or ODD.search(text):
-            return self._ids(text) + self.end
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        words = text.lower().split()
-        parts = [*map(known.get, words)]
-        if None in parts:
-            new = list({w for w, p in zip(words, parts) if p is None})
-            known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-            parts = map(known.__getitem__, words)
-        return b"".join(parts) + self.end
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text and the end id, as u32; the texts' new words are read together."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size > AT_ONCE:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = [None if t and ("<|" in t or ODD.search(t)) else (t or "").lower().split() for t in texts]
+        words = set().union(*(w for w in split if w))
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.known.clear()
+            new = words
+        new = list(new)
+        self.known.update(zip(new, self._ids(new)))
+        for t, w in zip(texts, split):
+            yield (next(self._ids([t])) if w is None else b"".join(map(self.known.__getitem__, w))) + self.end
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, end: int) -> Encoder:
+    """Workers that Spark uses again keep their words from task to task."""
+    return Encoder(path, end)
 
 
 def write(df: DataFrame, tokenizer: str, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end: int = 2, partitions: int | None = None) -> DataFrame:
@@ -66,15 +85,14 @@ def write(df: DataFrame, tokenizer: str, path: str | None = None, doc_id: str =
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer, end)
+        encoder = encoder_of(tokenizer, end)
         part, block, ids, held, sizes, size = 0, 0, [], [], [], 0
 
         def done() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "block": [block], "ids": [ids], "sizes": [sizes], "n": [size], "coded": [coder.encode(np.frombuffer(b"".join(held), np.uint32))]})
 
         for b in batches:
-            for p, i, t in zip(b["part"].tolist(), b["id"].tolist(), b["text"].tolist()):
-                coded = encoder(t)
+            for p, i, coded in zip(b["part"].tolist(), b["id"].tolist(), encoder.each(b["text"].tolist())):
                 if held and (p != part or size + len(coded) // 4 > coder.MOST):
                     yield done()
                     block, ids, held, sizes, size = (block + 1 if p == part else 0), [], [], [], 0
@@ -87,8 +105,10 @@ def write(df: DataFrame, tokenizer: str, path: str | None = None, doc_id: str =
             yield done()
 
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(partitions, "id") if partitions else rows.repartitionByRange("id")
-    dealt = dealt.sortWithinPartitions("id", "text").withColumn("part", F.spark_partition_id().cast("long"))
+    # By the text's hash too, so that rows without an id, or of one id, are not all in one partition.
+    order = [F.col("id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    dealt = dealt.sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id().cast("long"))
     blocks = dealt.mapInPandas(run, f"part long, block long, ids array<{kind}>, sizes array<long>, n long, coded binary")
     if path is None:
         return store(blocks)
