@@ -24,7 +24,7 @@ import numpy as np
 
 MAGIC = b"CMR2"
 HEAD = struct.Struct("<4sIIIII")
-LANES, MOST, REFRESH, REMIX = 4096, 1 << 21, 32, 4
+LANES, MOST, REFRESH, REMIX = 8192, 1 << 22, 32, 4
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
 MIX_BITS, ID_BITS, SLOTS = np.uint64(12), np.uint64(24), 1 << 16
 ONE, WORD, WHOLE = np.uint64(1), np.uint64(16), np.uint64(1 << 24)
@@ -37,8 +37,8 @@ class Corrupt(ValueError):
 class Model:
     def __init__(self, vocabulary: int, lanes: int) -> None:
         self.counts, self.new = np.zeros(vocabulary, np.int64), []
-        self.guess1, self.sure1 = np.zeros(vocabulary, np.int32), np.zeros(vocabulary, np.uint8)
-        self.guess2, self.sure2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint8)
+        # A guess and, in the last three bits, its confidence.
+        self.order1, self.order2 = np.zeros(vocabulary, np.int32), np.zeros(SLOTS, np.int32)
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.seen = np.tile(np.array([2, 2, 4], np.int64), (64, 1))
         self.step = 0
@@ -68,18 +68,17 @@ class Model:
         if young or self.step % REMIX == 0:
             self._remix()
         self.slot = (self.before * np.int32(40503) + self.last * np.int32(30011)) & np.int32(SLOTS - 1)
-        self.held2, self.held1 = self.sure2[self.slot], self.sure1[self.last]
-        self.at = (self.held2 * np.uint8(8) + self.held1).astype(np.intp) * 3
-        return self.guess2[self.slot], self.guess1[self.last]
+        self.held2, self.held1 = self.order2[self.slot], self.order1[self.last]
+        self.at = ((self.held2 & 7) * 8 + (self.held1 & 7)).astype(np.intp) * 3
+        return self.held2 >> 3, self.held1 >> 3
 
     def learn(self, ids: np.ndarray, order: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
         """order: 0 where the guess of order 2 was right, 1 where that of order 1 was, 2 else."""
         self.seen += np.bincount(self.at + order, minlength=192).reshape(64, 3)
         self.new.append(ids)
-        for guess, sure, at, g, old in ((self.guess2, self.sure2, self.slot, g2, self.held2), (self.guess1, self.sure1, self.last, g1, self.held1)):
-            hit = g == ids
-            sure[at] = np.where(hit, np.minimum(old + np.uint8(1), np.uint8(7)), old >> np.uint8(1))
-            guess[at] = np.where(hit | (old > 1), g, ids)
+        for table, at, held, g in ((self.order2, self.slot, self.held2, g2), (self.order1, self.last, self.held1, g1)):
+            sure, hit = held & 7, g == ids
+            table[at] = np.where(hit | (sure > 1), g, ids) * 8 + np.where(hit, np.minimum(sure + 1, 7), sure >> 1)
         self.before, self.last = self.last, ids
         self.step += 1
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,54 +30,94 @@ from tarnflow.llm.common import store
 
 #: Texts without these (only Latin, no controls) and without what starts a special token are the sum of their words:
 #: lower case works letter by letter there, and no piece of the tokenizer reaches over white space.
-ODD = re.compile(r"[^\t\n\x0b\f\r -~¡-įı-ɏ]")
-#: Words that a worker remembers, and characters of texts whose new words are read at once.
-WORDS_KEPT, AT_ONCE = 500_000, 1 << 22
+ODD = "[^\\t\\n\x0b\\f\\r -~¡-įı-ɏ]|<[|]"
+#: In a word without an apostrophe runs of letters, single digits and runs of other signs are pieces of their own.
+SIGNS = r"(\p{N}|[^\p{L}\p{N}]+)"
+#: Pieces that a worker remembers, and characters of texts that are read at once.
+PIECES_KEPT, AT_ONCE = 800_000, 1 << 24
+
+
+def _each_list(lists: pa.ListArray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of strings, where the k-th different string stands for the next sizes[k] values: number of values of each
+    list, and the values of all."""
+    flat = lists.flatten()
+    which = flat.indices
+    parts = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values)
+    ends = np.concatenate([[0], np.cumsum(sizes[which.to_numpy()])])
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return np.diff(ends[bounds]), parts.take(which).flatten().to_numpy()
+
+
+def _numbered(lists: pa.ListArray) -> tuple[pa.ListArray, pa.Array]:
+    """Lists of strings as lists of numbers of different strings, and these."""
+    coded = lists.flatten().dictionary_encode()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32()), coded), coded.dictionary
 
 
 class Encoder:
-    """Ids of texts from a tokenizer of the tokenizers library, which reads each word once while it is remembered."""
+    """Ids of texts from a tokenizer of the tokenizers library, which reads each piece once while it is remembered."""
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are what runs side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), array("I", [end]).tobytes(), {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        return (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), array("I", [end]).tobytes(), {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
         """The text's ids and the end id, as u32."""
         return next(self.each([text]))
 
     def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text and the end id, as u32; the texts' new words are read together."""
+        """The ids of each text and the end id, as u32; texts are read together."""
         held, size = [], 0
         for t in texts:
-            held.append(t)
+            held.append(t or "")
             size += len(t or "")
             if size > AT_ONCE:
-                yield from self._together(held)
+                yield from self._together(pa.array(held, pa.string()))
                 held, size = [], 0
-        yield from self._together(held)
-
-    def _together(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [None if t and ("<|" in t or ODD.search(t)) else (t or "").lower().split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known.clear()
-            new = words
-        new = list(new)
-        self.known.update(zip(new, self._ids(new)))
-        for t, w in zip(texts, split):
-            yield (next(self._ids([t])) if w is None else b"".join(map(self.known.__getitem__, w))) + self.end
+        yield from self._together(pa.array(held, pa.string()))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, ODD)
+        words, different = _numbered(pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", texts))))
+        marked = pc.match_substring(different, "'")
+        pieces, parts = _numbered(pc.ascii_split_whitespace(pc.if_else(marked, different, pc.replace_substring_regex(different, SIGNS, r" \1 "))))
+        coded = self._read(parts.to_numpy(zero_copy_only=False).tolist())
+        sizes, values = _each_list(pieces, np.array([len(x) for x in coded], np.int64) // 4, np.frombuffer(b"".join(coded), np.uint32))
+        sizes, values = _each_list(words, sizes, values)
+        at = 0
+        for n, is_odd, text in zip(sizes.tolist(), odd.to_pylist(), texts):
+            yield (self._whole([text.as_py()])[0] if is_odd else values[at : at + n].tobytes()) + self.end
+            at += n
+
+    def _read(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces; new ones are read as one text, in which each is a word of the tokenizer's."""
+        known = self.known
+        new = [x for x in pieces if x not in known]
+        if len(known) + len(new) > PIECES_KEPT:
+            known.clear()
+            new = pieces
+        plain, other = [x for x in new if "'" not in x and x], [x for x in new if "'" in x or not x]
+        known.update(zip(other, self._whole(other)))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = array("I", e.ids).tobytes(), np.array(e.word_ids, np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part)))]) * 4
+            if len(ends) != len(part) + 1:
+                known.update(zip(part, self._whole(part)))
+                continue
+            known.update((x, ids[a:b]) for x, a, b in zip(part, ends[:-1].tolist(), ends[1:].tolist()))
+        return [known[x] for x in pieces]
 
 
 @functools.lru_cache(maxsize=2)
 def encoder_of(path: str, end: int) -> Encoder:
-    """Workers that Spark uses again keep their words from task to task."""
+    """Workers that Spark uses again keep their pieces from task to task."""
     return Encoder(path, end)
 
 
