@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
-THRESHOLD = "主轴温度安全阈值: ≤180℃"
+#: The answer about the limit.
+THRESHOLD = "主轴安全温度阈值：≤ 180℃，超过即为异常故障"
 
 
 def evaluate(expression: str | None) -> float | None:
@@ -59,19 +60,40 @@ def web_results(body: Column, n: int = 3) -> Column:
     return F.array_join(F.transform(hits, shown), "")
 
 
-#: Name: description. The first two answer from a reading and a constant.
+#: The address that a search is sent to.
+SEARCH = "https://api.search.bing.com/v7.0/search?q=%s&count=5&mkt=zh-CN"
+
+
+def search_url(query: Column) -> Column:
+    """The address of a search, with the query percent-encoded (a space as %20)."""
+    encoded = F.url_encode(query)
+    for plain, coded in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(plain), F.lit(coded))
+    return F.format_string(SEARCH.replace("%s", "%1$s"), encoded)
+
+
+#: Name: description. All are functions in SQL under these names once registered.
 REGISTRY = {
-    "GetSpindleTemperature": "current spindle temperature",
+    "GetSpindleTemperature": "current spindle temperature, from a reading",
     "GetTemperatureThreshold": "safe limit of the spindle temperature",
     "GetCurrentTime": "current time",
     "Calculate": "value of an arithmetic expression",
-    "WebSearch": "first hits of a web search",
+    "WebSearch": "first hits of a web search, from its answer",
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Make the tools that are functions of a value callable from SQL."""
-    spark.udf.register("calculate", calculate)
+    """Make the five tools callable from SQL by their names."""
+    spark.udf.register("Calculate", calculate)
+    bodies = {
+        "GetSpindleTemperature(reading INT)": "concat('主轴实时温度：', reading, '℃')",
+        "GetTemperatureThreshold()": f"'{THRESHOLD}'",
+        "GetCurrentTime(now TIMESTAMP)": "date_format(now, 'yyyy年MM月dd日 HH:mm:ss')",
+        "WebSearch(body STRING)": f"""array_join(transform(slice(from_json(body, '{RESULTS}').webPages.value, 1, 3), (h, i) -> format_string(
+            '【%d】%s\\n摘要：%s\\n来源：%s\\n\\n', i + 1, coalesce(h.name, ''), coalesce(h.snippet, ''), coalesce(h.url, ''))), '')""",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
 
 def call(calls: DataFrame, results: DataFrame) -> DataFrame:

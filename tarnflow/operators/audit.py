@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.operators.numbering import numbered
+
 
 def append(log: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """log and the new records, numbered on from its count in the order of `seq`."""
-    from pyspark.sql import Window as W
-
     start = log.agg(F.count("*").alias("_n"))
-    rows = new.crossJoin(F.broadcast(start)).withColumn("id", F.col("_n") + F.row_number().over(W.orderBy("seq"))).withColumn("create_time", now)
+    rows = numbered(new, "seq", column="_k").crossJoin(F.broadcast(start)).withColumn("id", F.col("_n") + F.col("_k") + 1).withColumn("create_time", now)
     return log.unionByName(rows.select(*log.columns))
 
 
@@ -38,11 +38,18 @@ def header(log: DataFrame, start, end) -> DataFrame:
     return log.where(F.col("create_time").between(F.lit(start), F.lit(end))).agg(F.concat(title, shown(start), F.lit(" 至 "), shown(end), F.lit("\n记录总数: "), F.count("*").cast("string")).alias("line"))
 
 
-def report(log: DataFrame, start, end) -> DataFrame:
-    """One row per day: the number of records and their lines, newest first. Days keep each row's text bounded."""
-    rows = report_lines(log, start, end).withColumn("day", F.date_format("create_time", "yyyy-MM-dd"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("create_time", (-F.col("id")).alias("back"), "line")), asc=False), lambda x: x["line"])
-    return rows.groupBy("day").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("report"))
+def report(log: DataFrame, start, end, per_row: int = 1000) -> DataFrame:
+    """(day, block, n, report): the lines of a day, newest first, in blocks; `per_row` bounds a row on the busiest day."""
+    rows = numbered(report_lines(log, start, end), F.col("create_time").desc(), F.col("id"), column="_k")
+    rows = rows.withColumn("day", F.date_format("create_time", "yyyy-MM-dd")).withColumn("block", F.floor(F.col("_k") / per_row))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("_k", "line"))), lambda x: x["line"])
+    return rows.groupBy("day", "block").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("report"))
+
+
+def pass_rate(results: DataFrame, passed: str = "passed") -> DataFrame:
+    """(total, passed, rate): how many tests passed, and their share in per cent to one digit; no rate without a test."""
+    ok = F.count_if(F.coalesce(F.col(passed), F.lit(False)))
+    return results.agg(F.count("*").alias("total"), ok.alias("passed"), F.round(F.try_divide(ok * 100.0, F.count("*")), 1).alias("rate"))
 
 
 def retained(log: DataFrame, now: Column, days: int = 180) -> DataFrame:

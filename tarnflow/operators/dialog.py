@@ -60,6 +60,12 @@ def clear(turns: DataFrame, gone: DataFrame) -> DataFrame:
     return turns.join(gone.select("session_id"), "session_id", "left_anti")
 
 
+def clear_history(turns: DataFrame, sessions: DataFrame, gone: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """turns without those of the sessions in `gone`, and sessions, where these count as updated now."""
+    marked = sessions.join(gone.select("session_id").distinct().withColumn("_gone", F.lit(True)), "session_id", "left")
+    return clear(turns, gone), marked.withColumn("last_updated", F.when(F.col("_gone"), now).otherwise(F.col("last_updated"))).select(*sessions.columns)
+
+
 def facts(turns: DataFrame) -> DataFrame:
     """(session_id, key, value, turn) of every fact that a turn states."""
     found = F.array(

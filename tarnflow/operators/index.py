@@ -30,6 +30,8 @@ def corpus_stats(docs: DataFrame, content: str = "content") -> DataFrame:
 def write(docs: DataFrame, path: str, buckets: int | None = None) -> None:
     """Postings sorted by term within files, so that a query's terms prune row groups; beside them the documents' lengths."""
     rows = postings(docs)
-    dealt = rows.repartitionByRange(buckets, "term") if buckets else rows.repartitionByRange("term")
+    # By document too, as a character that all documents have would be one partition.
+    order = ("term", "doc_id")
+    dealt = rows.repartitionByRange(buckets, *order) if buckets else rows.repartitionByRange(*order)
     dealt.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     doc_stats(docs).write.mode("overwrite").parquet(f"{path}/lengths")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow import schema
 from tarnflow.functions.text import preview
 from tarnflow.operators import rerank, retrieve
+from tarnflow.operators.numbering import numbered
 from tarnflow.sources import corpus
 
 
@@ -27,8 +27,8 @@ class KnowledgeBase:
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast(self.docs.schema[c].dataType))
         start = self.docs.agg(F.count("*").alias("_n"))
-        numbered = rows.crossJoin(F.broadcast(start)).withColumn("doc_id", F.col("_n") + F.row_number().over(W.orderBy(order)) - 1)
-        self.docs = self.docs.unionByName(numbered.select(*self.docs.columns))
+        rows = numbered(rows, order, column="_k").crossJoin(F.broadcast(start)).withColumn("doc_id", F.col("_n") + F.col("_k"))
+        self.docs = self.docs.unionByName(rows.select(*self.docs.columns))
         return self
 
     def add_texts(self, texts: Sequence[str]) -> KnowledgeBase:

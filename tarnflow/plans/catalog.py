@@ -7,6 +7,7 @@ part and orders in the same way.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.functions import rules, text, tools
-from tarnflow.operators import audit, dialog, index, rerank, retrieve
+from tarnflow import schema
+from tarnflow.functions import prompts, rules, text, tools
+from tarnflow.operators import audit, compliance, dialog, index, rerank, retrieve
 from tarnflow.sources import corpus
 from tarnflow.streaming import logs
 
@@ -317,40 +319,54 @@ def strip_think(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_think(x).alias("content"))
 
 
-def _values(spark: SparkSession, *texts: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(texts)), "n int, x string")
+def _spoken(spark, sf_dir, *said: str) -> DataFrame:
+    """conversations with x: what a turn says in the form that turn % len(said) has; forms are SQL over the turn's columns."""
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.expr(_case("turn", *said)).alias("x"))
 
 
-CALLS = ("【工具调用】: GetSpindleTemperature,GetTemperatureThreshold", "【工具调用】:无", "先看【工具调用】:Calculate(1+2), -,WebSearch", "没有标记 GetCurrentTime", "no")
+def _case(number: str, *values: str) -> str:
+    """The value by a number's remainder; the same text is SQL for Spark and for DuckDB."""
+    return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-@query("""SELECT * FROM (VALUES
-    (0, [': GetSpindleTemperature', 'GetTemperatureThreshold'], ['GetSpindleTemperature', 'GetTemperatureThreshold']),
-    (1, [':无'], []), (2, [':Calculate(1+2)', 'WebSearch'], ['Calculate(1+2)', 'WebSearch']), (3, [], []), (4, [], [])) t(n, strict, clean)""")
+_TOOL = "'Tool' || conv_id"
+_CALLS = (f"text || '【工具调用】: GetSpindleTemperature,' || {_TOOL}", "'【工具调用】:无'", f"text || '【工具调用】:Calculate(1+2), -,' || {_TOOL}", "text || ' GetCurrentTime'", "text || ' 不需要 WebSearch'")
+_NONE = "[]::VARCHAR[]"
+
+
+def _expected(**columns: tuple[str, ...]) -> str:
+    return "SELECT conv_id, turn, " + ", ".join(f"{_case('turn', *v)} AS {k}" for k, v in columns.items()) + " FROM conversations"
+
+
+@query(_expected(
+    strict=(f"[': GetSpindleTemperature', {_TOOL}]", "[':无']", f"[':Calculate(1+2)', {_TOOL}]", _NONE, _NONE),
+    clean=(f"['GetSpindleTemperature', {_TOOL}]", _NONE, f"['Calculate(1+2)', {_TOOL}]", _NONE, _NONE)))
 def parse_tools_a(spark, sf_dir):
     x = F.col("x")
-    return _values(spark, *CALLS).select("n", rules.tools_marked(x, strict=True).alias("strict"), rules.tools_marked(x).alias("clean"))
+    return _spoken(spark, sf_dir, *_CALLS).select("conv_id", "turn", rules.tools_marked(x, strict=True).alias("strict"), rules.tools_marked(x).alias("clean"))
 
 
-@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, ['无']), (2, ['Calculate1+2', 'WebSearch']), (3, []), (4, [])) t(n, tools)""")
+@query(_expected(tools=(f"['GetSpindleTemperature', {_TOOL}]", "['无']", f"['Calculate1+2', {_TOOL}]", _NONE, _NONE)))
 def parse_tools_b(spark, sf_dir):
-    return _values(spark, *CALLS).select("n", rules.tools_stripped(F.col("x")).alias("tools"))
+    return _spoken(spark, sf_dir, *_CALLS).select("conv_id", "turn", rules.tools_stripped(F.col("x")).alias("tools"))
 
 
-@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, []), (2, ['Calculate1+2', 'WebSearch']), (3, []), (4, [])) t(n, tools)""")
+@query(_expected(tools=(f"['GetSpindleTemperature', {_TOOL}]", _NONE, f"['Calculate1+2', {_TOOL}]", _NONE, _NONE)))
 def parse_tools_c(spark, sf_dir):
-    return _values(spark, *CALLS).select("n", rules.tools_squeezed(F.col("x")).alias("tools"))
+    return _spoken(spark, sf_dir, *_CALLS).select("conv_id", "turn", rules.tools_squeezed(F.col("x")).alias("tools"))
 
 
-@query("""SELECT * FROM (VALUES (0, ['GetSpindleTemperature', 'GetTemperatureThreshold']), (1, []), (2, ['Calculate', 'WebSearch']), (3, ['GetCurrentTime']), (4, []), (5, [])) t(n, tools)""")
+@query(_expected(tools=("['GetSpindleTemperature']", _NONE, "['Calculate']", "['GetCurrentTime']", _NONE)))
 def parse_tools_d(spark, sf_dir):
-    return _values(spark, *CALLS, "不需要 GetCurrentTime").select("n", rules.tools_named(F.col("x")).alias("tools"))
+    return _spoken(spark, sf_dir, *_CALLS).select("conv_id", "turn", rules.tools_named(F.col("x")).alias("tools"))
 
 
-@query("""SELECT * FROM (VALUES (0, true, ['GetCurrentTime', 'Calculate']), (1, true, []), (2, true, ['WebSearch']), (3, false, [])) t(n, needs_tools, tool_names)""")
+@query(_expected(needs_tools=("true", "true", "true", "false"), tool_names=(f"['GetCurrentTime', {_TOOL}]", _NONE, f"[{_TOOL}]", _NONE)))
 def parse_tools_e(spark, sf_dir):
-    v = _values(spark, "需要工具: 是\n工具列表: GetCurrentTime, Calculate,无,GetCurrentTime", "需要工具:否", "需要工具: WebSearch", "其他")
-    return v.select("n", F.inline(F.array(rules.tools_planned(F.col("x")))))
+    listed = f"concat('需要工具: 是', chr(10), '工具列表: GetCurrentTime, ', {_TOOL}, ',无,GetCurrentTime')"
+    v = _spoken(spark, sf_dir, listed, "'需要工具:否'", f"'需要工具: ' || {_TOOL}", "text")
+    return v.select("conv_id", "turn", F.inline(F.array(rules.tools_planned(F.col("x")))))
 
 
 @query(f"""WITH {TURNS} SELECT session_id, turn, contains(content, '温度') OR contains(content, '阈值') AS needs_tools,
@@ -361,23 +377,28 @@ def tool_plan(spark, sf_dir):
 
 
 @query(f"""WITH {TURNS} SELECT session_id, turn, tool, CASE tool WHEN 'GetTemperatureThreshold' THEN '{tools.THRESHOLD}' ELSE '未知工具: ' || tool END AS result
-    FROM (SELECT session_id, turn, unnest(['GetTemperatureThreshold', 'Unknown']) AS tool FROM turns WHERE turn % 4 = 0)""")
+    FROM (SELECT session_id, turn, unnest(['GetTemperatureThreshold', 'Unknown']) AS tool FROM turns)""")
 def tool_call(spark, sf_dir):
-    calls = conversations(spark, sf_dir).where("turn % 4 = 0").select("session_id", "turn", F.explode(F.array(F.lit("GetTemperatureThreshold"), F.lit("Unknown"))).alias("tool"))
+    calls = conversations(spark, sf_dir).select("session_id", "turn", F.explode(F.array(F.lit("GetTemperatureThreshold"), F.lit("Unknown"))).alias("tool"))
     return tools.call(calls, spark.createDataFrame([("GetTemperatureThreshold", tools.THRESHOLD)], "tool string, result string")).select("session_id", "turn", "tool", "result")
 
 
-@query("""SELECT * FROM (VALUES (0, '你叫 李工，我叫 王工！'), (1, '你叫 李工！'), (2, '我叫 王工，你叫 李工！'), (3, '你好！之前检查的温度是 205.5 ℃。还有什么需要我帮你的吗？'), (4, '安全阈值是 ≤ 180℃。'), (5, NULL)) t(n, answer)""")
+_NAMES = "'李' || conv_id", "'王' || conv_id"
+_BOTH = f"'你叫 ' || {_NAMES[0]} || '，我叫 ' || {_NAMES[1]} || '！'", f"'我叫 ' || {_NAMES[1]} || '，你叫 ' || {_NAMES[0]} || '！'"
+
+
+@query(_expected(answer=(_BOTH[0], _BOTH[0], _BOTH[1], "'你好！之前检查的温度是 ' || turn || ' ℃。还有什么需要我帮你的吗？'", "'安全阈值是 ≤ ' || turn || '℃。'", f"'你叫 ' || {_NAMES[0]} || '！'", "NULL")))
 def memory_answer(spark, sf_dir):
-    rows = [(0, "我是谁？", "李工", "王工", None, None), (1, "我的名字", "李工", None, None, None), (2, "你是谁", "李工", "王工", None, None), (3, "刚才温度多少", None, None, "205.5 ℃", None), (4, "安全吗", None, None, None, "≤ 180℃"), (5, "你叫什么", None, None, None, None)]
-    v = spark.createDataFrame(rows, "n int, q string, u string, a string, s string, l string")
-    return v.select("n", rules.memory_answer(*map(F.col, "quasl")).alias("answer"))
+    asked = [f"text || '{q}'" for q in ("我是谁？", "我的名字", "你是谁", "刚才温度多少", "安全吗", "我是谁", "你叫什么")]
+    known = "turn % 7 < 5"
+    q = _spoken(spark, sf_dir, *asked).selectExpr("conv_id", "turn", "x", f"CASE WHEN turn % 7 < 6 THEN {_NAMES[0]} END AS u", f"CASE WHEN {known} THEN {_NAMES[1]} END AS a", f"CASE WHEN {known} THEN turn || ' ℃' END AS s", f"CASE WHEN {known} THEN '≤ ' || turn || '℃' END AS l")
+    return q.select("conv_id", "turn", rules.memory_answer(*map(F.col, "xuasl")).alias("answer"))
 
 
-@query("""SELECT * FROM (VALUES (0, '李工', '王工'), (1, '谁？', NULL), (2, '李工程师', NULL), (3, NULL, NULL)) t(n, user_name, assistant_name)""")
+@query(_expected(user_name=(_NAMES[0], "'谁？'", f"{_NAMES[0]} || '工程师'", "NULL"), assistant_name=(_NAMES[1], "NULL", "NULL", "NULL")))
 def name_extract(spark, sf_dir):
-    v = _values(spark, "你好，我叫李工，你叫王工", "我是谁？", "我叫李工程师", "hello")
-    return v.select("n", rules.user_name(F.col("x")).alias("user_name"), rules.assistant_name(F.col("x")).alias("assistant_name"))
+    v = _spoken(spark, sf_dir, f"concat(text, '你好，我叫', {_NAMES[0]}, '，你叫', {_NAMES[1]})", "text || '我是谁？'", f"concat('我叫', {_NAMES[0]}, '工程师')", "text")
+    return v.select("conv_id", "turn", rules.user_name(F.col("x")).alias("user_name"), rules.assistant_name(F.col("x")).alias("assistant_name"))
 
 
 @query(f"""WITH {TURNS} SELECT session_id, turn, CASE WHEN turn % 4 = 0 THEN nullif(regexp_extract(content, '(\\d+(\\.\\d+)?)\\s*℃', 0), '') END AS temperature,
@@ -397,25 +418,54 @@ def fact_latest(spark, sf_dir):
     return dialog.latest(dialog.facts(conversations(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES (0, '甲苯'), (1, '通用'), (2, '硫酸'), (3, '甲苯')) t(n, chemical_type)")
+_LANGUAGES = ("en", "de", "fr", "es")
+
+
+@query(f"SELECT doc_id, {_case('doc_id', repr('甲苯'), repr('通用'), repr('硫酸'), repr('甲苯'))} AS chemical_type FROM documents")
 def file_classify(spark, sf_dir):
-    return _values(spark, "甲苯储存规范", "通则", "浓硫酸.txt", "盐酸与甲苯").select("n", rules.chemical_type(F.col("x")).alias("chemical_type"))
+    name = _case("doc_id", "concat('甲苯储存规范', doc_id)", "concat(source, '通则')", "concat(doc_id, '浓硫酸.txt')", "'盐酸与甲苯'")
+    return table(spark, sf_dir, "documents").select("doc_id", rules.chemical_type(F.expr(name)).alias("chemical_type"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, '案例前言'), (0, 1, '案例1 a'), (0, 2, '案例2 b')) t(n, pos, content)")
+_LINE = "regexp_replace(regexp_replace({x}, '\\r?\\n', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_CASES = f"""SELECT doc_id, 0 AS pos, '案例' || {_LINE.format(x='lang')} AS content FROM documents
+    UNION ALL SELECT doc_id, 1, '案例' || {_LINE.format(x="'1 ' || text || chr(10)")} FROM documents
+    UNION ALL SELECT doc_id, 2, '案例' || {_LINE.format(x="'2 ' || source")} FROM documents"""
+
+
+def _case_texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("concat(lang, '案例1 ', text, chr(10), '案例2 ', source)").alias("text"))
+
+
+@query(_CASES)
 def case_split(spark, sf_dir):
-    return _values(spark, "前言案例1 a\n案例2 b").select("n", F.posexplode(corpus.cases(F.col("x"))).alias("pos", "content"))
+    return _case_texts(spark, sf_dir).select("doc_id", F.posexplode(corpus.cases(F.col("text"))).alias("pos", "content"))
+
+
+_LIMITS = "SELECT p_partkey, '型号X' || p_partkey || '：安全阈值' || p_size || '，异常阈值' || (p_size + 20) AS content FROM part WHERE p_partkey % 3 <> 1"
+
+
+def _limit_lines(spark, sf_dir) -> DataFrame:
+    line = _case("p_partkey", "concat_ws(',', 'X' || p_partkey, p_size, p_size + 20)", "concat('bad,', p_size)", "concat_ws(',', 'X' || p_partkey, p_size, p_size + 20, 7)")
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(line).alias("line"))
 
 
-@query("SELECT * FROM (VALUES (0, '型号X1：安全阈值180，异常阈值200'), (2, '型号X2：安全阈值1，异常阈值2')) t(n, content)")
+@query(_LIMITS)
 def csv_threshold(spark, sf_dir):
-    return _values(spark, "X1,180,200", "bad,1", "X2,1,2,3").select("n", corpus.threshold_sentence(F.col("x")).alias("content")).where("content IS NOT NULL")
+    return _limit_lines(spark, sf_dir).select("p_partkey", corpus.threshold_sentence(F.col("line")).alias("content")).where("content IS NOT NULL")
 
 
-@query("SELECT doc_id, lang AS regulation_type FROM documents WHERE lang IN ('en', 'de', 'fr')")
+@query(f"SELECT content FROM ({_CASES}) UNION ALL SELECT content FROM ({_LIMITS})")
+def knowledge_union(spark, sf_dir):
+    return corpus.knowledge(_case_texts(spark, sf_dir), _limit_lines(spark, sf_dir))
+
+
+@query("SELECT doc_id, lang AS regulation_type FROM documents")
 def source_union(spark, sf_dir):
+    """One source for each language, and one of what has another or none."""
     docs = documents(spark, sf_dir).select("doc_id", "regulation_type")
-    first, *rest = [docs.where(F.col("regulation_type") == x) for x in ("en", "de", "fr")]
+    known = F.coalesce(F.col("regulation_type").isin(*_LANGUAGES), F.lit(False))
+    first, *rest = [docs.where(~known), *(docs.where(F.col("regulation_type") == x) for x in _LANGUAGES)]
     for df in rest:
         first = first.unionByName(df)
     return first
@@ -426,10 +476,42 @@ def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT 0 AS n, replace('【1】a|摘要：b|来源：u||【2】c|摘要：d|来源：v||', '|', chr(10)) AS content")
+@query("SELECT page_id, concat('【1】', url, chr(10), '摘要：', chr(10), '来源：u', page_id, chr(10), chr(10), '【2】c', chr(10), '摘要：', html, chr(10), '来源：', url, chr(10), chr(10)) AS content FROM pages")
 def web_results(spark, sf_dir):
-    v = _values(spark, '{"webPages": {"value": [{"name": "a", "snippet": "b", "url": "u"}, {"name": "c", "snippet": "d", "url": "v"}]}}')
-    return v.select("n", tools.web_results(F.col("x")).alias("content"))
+    hit = lambda name, snippet, url: F.struct(name.alias("name"), snippet.alias("snippet"), url.alias("url"))
+    first = hit(F.col("url"), F.lit(None).cast("string"), F.concat(F.lit("u"), F.col("page_id").cast("string")))
+    body = F.to_json(F.struct(F.struct(F.array(first, hit(F.lit("c"), F.col("html"), F.col("url"))).alias("value")).alias("webPages")))
+    return table(spark, sf_dir, "pages").select("page_id", tools.web_results(body).alias("content"))
+
+
+@query("SELECT conv_id, turn, 'https://api.search.bing.com/v7.0/search?q=' || url_encode(text || ' *~+' || chr(10)) || '&count=5&mkt=zh-CN' AS url FROM conversations")
+def search_url(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tools.search_url(F.concat("text", F.lit(" *~+\n"))).alias("url"))
+
+
+@query("""SELECT conv_id, turn, concat_ws(chr(10), '【内容大纲】', '一、问题分析', '  1.1 用户问题：' || text, CASE WHEN turn % 2 = 0 THEN '二、工具调用结果' || chr(10) || '  2.1 Calculate' || chr(10) || '  2.2 Tool' || conv_id END,
+    '三、诊断结论', '  3.1 问题判断', '  3.2 故障原因', '  3.3 整改建议', '') AS outline FROM conversations""")
+def outline(spark, sf_dir):
+    called = F.when(F.col("turn") % 2 == 0, F.array(F.lit("Calculate"), F.expr(_TOOL))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.outline(F.col("text"), called).alias("outline"))
+
+
+@query(f"""WITH {BM25}, {_top(5)}, p AS (
+    SELECT concat('你是化工园区危化品合规审核专家，请根据以下参考法规对用户的巡检内容进行合规审核:', chr(10), chr(10), '参考法规:', chr(10),
+        string_agg((rank + 1) || '. ' || content, chr(10) ORDER BY rank), chr(10), chr(10), '用户巡检内容:', chr(10), '{QUERY}', chr(10), chr(10),
+        array_to_string(['请按以下格式输出审核结论:', '1. 是否合规: [是/否]', '2. 违规点: [如有]', '3. 法规依据: [引用具体条款]', '4. 整改建议: [详细说明]', ''], chr(10))) AS prompt
+    FROM top JOIN docs USING (doc_id))
+    SELECT md5(prompt) AS prompt_md5, '[' || length(prompt) || '] ' || substr(prompt, 1, 50) AS conclusion, '巡检内容: {QUERY}...' AS details FROM p""")
+def compliance_check(spark, sf_dir):
+    checked = compliance.check(documents(spark, sf_dir), QUERY)
+    log = compliance.recorded(spark.createDataFrame([], schema.AUDIT), checked, F.lit(NOW).cast("timestamp"))
+    return checked.crossJoin(F.broadcast(log.select("details"))).select(F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "conclusion", "details")
+
+
+@query("""SELECT event_id, '主轴实时温度：' || event_id || '℃' AS reading, '""" + tools.THRESHOLD + """' AS threshold, strftime(ts, '%Y年%m月%d日 %H:%M:%S') AS at FROM events""")
+def registered_tools(spark, sf_dir):
+    tools.register(spark)
+    return table(spark, sf_dir, "events").selectExpr("event_id", "GetSpindleTemperature(CAST(event_id AS INT)) AS reading", "GetTemperatureThreshold() AS threshold", "GetCurrentTime(ts) AS at")
 
 
 # --- sessions and audit
@@ -451,10 +533,21 @@ def history_count(spark, sf_dir):
     return dialog.count(conversations(spark, sf_dir))
 
 
-@query("SELECT conv_id AS session_id, count(*)::BIGINT AS n_turns FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id")
+@query(f"WITH {TURNS} SELECT session_id, turn, md5({_clean('content', True)}) AS content_md5 FROM turns WHERE session_id IN (SELECT user_id::VARCHAR FROM events)")
 def known_sessions(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
-    return dialog.count(t.join(t.where("session_id % 2 = 0").select("session_id").distinct(), "session_id", "left_semi"))
+    """Turns are written for the sessions that events know, and dropped for all others."""
+    new = conversations(spark, sf_dir)
+    sessions = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"))
+    return dialog.append(new.limit(0), new, sessions).select("session_id", "turn", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""SELECT user_id AS session_id, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE max(ts) END AS last_updated, CASE WHEN user_id % 2 = 0 THEN 0 ELSE count(*) END::BIGINT AS n_turns
+    FROM events GROUP BY user_id""")
+def clear_history(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("turn"), "ts")
+    sessions = e.groupBy("session_id").agg(F.max("ts").alias("last_updated"))
+    turns, sessions = dialog.clear_history(e, sessions, sessions.where("session_id % 2 = 0"), F.lit(NOW).cast("timestamp"))
+    return sessions.join(dialog.count(turns), "session_id", "left").select("session_id", F.col("last_updated").cast(table(spark, sf_dir, "events").schema["ts"].dataType).alias("last_updated"), F.coalesce("n_turns", F.lit(0)).alias("n_turns"))
 
 
 @query("SELECT user_id AS session_id, max(ts) AS last_updated FROM events GROUP BY user_id HAVING (SELECT max(ts) FROM events) - max(ts) > INTERVAL 30 MINUTE")
@@ -494,14 +587,20 @@ def audit_user(spark, sf_dir):
     return audit.find(audit_log(spark, sf_dir), user="7").select("id")
 
 
-@query(f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*)::BIGINT AS n,
-    string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] 用户:' || user_id || ' 操作:' || event_type || chr(10) || '  详情: ' || props, chr(10) ORDER BY ts DESC, event_id) AS report
-    FROM events, {_SPAN} WHERE ts BETWEEN a AND b GROUP BY 1""")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS k FROM events, {_SPAN} WHERE ts BETWEEN a AND b)
+    SELECT strftime(ts, '%Y-%m-%d') AS day, (k // 1000)::BIGINT AS block, count(*)::BIGINT AS n,
+    string_agg('[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] 用户:' || user_id || ' 操作:' || event_type || chr(10) || '  详情: ' || props, chr(10) ORDER BY k) AS report
+    FROM r GROUP BY 1, 2""")
 def audit_report(spark, sf_dir):
     log = audit_log(spark, sf_dir)
     return audit.report(log, *_span(log))
 
 
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE value > 50)::BIGINT AS passed, round(100.0 * count(*) FILTER (WHERE value > 50) / count(*), 1)::DOUBLE AS rate FROM events")
+def pass_rate(spark, sf_dir):
+    return audit.pass_rate(table(spark, sf_dir, "events").select((F.col("value") > 50).alias("passed")))
+
+
 @query("SELECT event_id AS id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
 def audit_retention(spark, sf_dir):
     log = audit_log(spark, sf_dir)
@@ -512,15 +611,29 @@ def audit_retention(spark, sf_dir):
 # --- connectors and tools
 
 
-@query("SELECT p_name AS chemical_name, p_type AS chemical_type, p_retailprice AS quantity FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
+@query("SELECT p_partkey, p_type AS chemical_name, p_retailprice AS quantity FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
 def warehouse_filter(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.join(F.broadcast(p.agg(F.min("p_name").alias("p_name"))), "p_name").select(F.col("p_name").alias("chemical_name"), F.col("p_type").alias("chemical_type"), F.col("p_retailprice").alias("quantity"))
+    records = p.select("p_partkey", F.col("p_type").alias("chemical_name"), F.col("p_retailprice").alias("quantity"))
+    return corpus.warehouse(records, p.agg(F.min("p_type")).first()[0])
 
 
-@query("SELECT o_orderkey AS ticket_id, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey AS ticket_id, o_orderpriority AS priority, true AS is_completed FROM orders WHERE o_orderstatus = 'F'")
 def ehs_filter(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderpriority").alias("priority"))
+    o = table(spark, sf_dir, "orders")
+    return corpus.tickets(o.select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("is_completed")), True)
+
+
+@query("""SELECT md5(text) AS content_md5, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '通用' END AS regulation_type, '中' AS priority, coalesce(source, '通用') AS chemical_type, len(embedding)::INTEGER AS width
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+def document_sink(spark, sf_dir):
+    """Documents are appended with defaults and their vectors, and read back."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    d = table(spark, sf_dir, "documents").join(vectors, F.col("vec_id") == F.col("doc_id"), "left")
+    rows = d.select(F.col("text").alias("content"), F.expr("CASE WHEN doc_id % 2 = 0 THEN lang END").alias("regulation_type"), F.col("source").alias("chemical_type"), "embedding")
+    path = shared_folder(spark)
+    written = corpus.write_documents(rows, path, F.lit(NOW).cast("timestamp"), embed=lambda _: F.col("embedding"))
+    return spark.read.schema(written.schema).parquet(path).select(F.md5(F.col("content").cast("binary")).alias("content_md5"), "regulation_type", "priority", "chemical_type", F.size("embedding").alias("width"))
 
 
 @query("SELECT event_id, value > 180 AS above FROM events WHERE value IS NOT NULL")
@@ -528,9 +641,10 @@ def sensor_threshold(spark, sf_dir):
     return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", (F.col("value") > 180).alias("above"))
 
 
-@query("SELECT * FROM (VALUES (0, 7.0::DOUBLE), (1, 9.0::DOUBLE), (2, -0.5::DOUBLE), (3, NULL), (4, NULL)) t(n, value)")
+@query(f"SELECT p_partkey, ({_case('p_partkey', 'p_partkey + p_size * 3', '(p_partkey + p_size) * 3', '-p_partkey / 2.0::DOUBLE', 'NULL', 'NULL')})::DOUBLE AS value FROM part")
 def calculate(spark, sf_dir):
-    return _values(spark, "1+2*3", "(1 + 2) * 3", "-1/2", "1/0", "__import__('os')").select("n", tools.calculate("x").alias("value"))
+    x = _case("p_partkey", "concat(p_partkey, '+', p_size, '*3')", "concat('(', p_partkey, ' + ', p_size, ') * 3')", "concat('-', p_partkey, '/2')", "concat(p_partkey, '/0')", "concat('open(', p_partkey, ')')")
+    return table(spark, sf_dir, "part").select("p_partkey", tools.calculate(F.expr(x)).alias("value"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview FROM documents")
@@ -542,9 +656,12 @@ def result_preview(spark, sf_dir):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in the cluster's checkpoint folder, else a temporary one."""
+    """A new folder that driver and executors share: in the cluster's checkpoint folder; a temporary one only where none is
+    set and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
+    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base}/shared-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="shared-")
 
 
 def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

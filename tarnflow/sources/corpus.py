@@ -14,8 +14,12 @@ CATEGORIES = {"国标": "高", "园区规则": "中", "历史案例": "低"}
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(content, regulation_type, priority, source_file) of the *.txt files in the folders named like a category."""
-    raw = spark.read.text(root, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    """(content, regulation_type, priority, source_file) of the *.txt files in the folders named like a category.
+
+    A file that can't be read, or is gone when its turn comes, is left out and the rest goes on.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    raw = reader.text(root, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     df = raw.select(F.col("value").alias("content"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("regulation_type"), F.regexp_extract(path, "([^/]+)$", 1).alias("source_file"))
     priority = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
@@ -47,9 +51,19 @@ def threshold_sentence(line: Column) -> Column:
 
 
 def thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """(content) of a comma-separated file with a header line; fields are not quoted."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    return lines.where("n > 0").select(threshold_sentence(F.col("line")).alias("content")).where("content IS NOT NULL")
+    """(content) of a comma-separated file with a header line, read line by line; fields are not quoted."""
+    columns = "a string, b string, c string"
+    rows = spark.read.schema(columns).csv(path, header=True, quote="", nullValue="\0", mode="PERMISSIVE")
+    full = rows.where(F.col("c").isNotNull())
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return full.select(threshold_sentence(F.concat_ws(",", *map(blank, "abc"))).alias("content"))
+
+
+def knowledge(cases_text: DataFrame, lines: DataFrame) -> DataFrame:
+    """(content) of the cases in `cases_text` (text) and of the sentences of the threshold lines in `lines` (line)."""
+    told = cases_text.select(F.explode(cases(F.col("text"))).alias("content"))
+    sentences = lines.select(threshold_sentence(F.col("line")).alias("content")).where("content IS NOT NULL")
+    return told.unionByName(sentences)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -57,6 +71,31 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({"chemical_type": F.coalesce("chemical_type", F.lit("通用")), "priority": F.coalesce("priority", F.lit("中"))})
 
 
+def write_documents(df: DataFrame, path: str, now: Column, embed=None) -> DataFrame:
+    """Append documents (content and any metadata) to the table at path, in one write; what was written.
+
+    Defaults are filled in, `embed` maps the content's column to its vector (none: null), and `now` is the time of writing.
+    """
+    for c in ("regulation_type", "priority", "chemical_type", "source_file"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    rows = with_defaults(df).withColumn("regulation_type", F.coalesce("regulation_type", F.lit("通用")))
+    vector = (embed(F.col("content")) if embed else F.lit(None)).cast("array<float>")
+    rows = rows.select("content", "regulation_type", "priority", "chemical_type", "source_file", vector.alias("embedding"), now.cast("timestamp").alias("created_at"))
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
+def warehouse(records: DataFrame, chemical_name: str | None = None) -> DataFrame:
+    """Warehouse records of a chemical, or all."""
+    return records if chemical_name is None else records.where(F.col("chemical_name") == chemical_name)
+
+
+def tickets(records: DataFrame, is_completed: bool | None = None) -> DataFrame:
+    """Tickets that are completed, or not, or all."""
+    return records if is_completed is None else records.where(F.col("is_completed") == is_completed)
+
+
 def metadata(df: DataFrame, names: tuple[str, ...] = ("regulation_type", "priority", "chemical_type", "source_file")) -> Column:
     """Metadata as a map, without what is empty."""
     full = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))

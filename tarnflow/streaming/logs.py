@@ -41,6 +41,9 @@ def latest_facts(stream: DataFrame, schema: str = "session_id string, key string
         held = state.get if state.exists else (None, -1)
         best = held
         for b in batches:
+            b = b[b["turn"].notna()]  # a fact without a turn has no place in the order
+            if b.empty:
+                continue
             row = b.loc[b["turn"].idxmax()]
             if row["turn"] > best[1]:
                 best = (row["value"], int(row["turn"]))
