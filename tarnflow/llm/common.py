@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the word contracts spell it.
@@ -21,14 +23,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
-
-    The folder is the cluster's (spark.checkpoint.dir); only where none is set, as in tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder (spark.checkpoint.dir); a temporary one only where none is set and Spark runs in one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -63,12 +71,26 @@ def store(df: DataFrame) -> DataFrame:
     execution can split a hot key.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `store` from which nothing is read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame, column: str, most: int = 24 << 20) -> DataFrame:
+    """A stored table for a join: broadcast where its rows and the elements of an array column, as counted now, take
+    `most` bytes or less, else sorted and merged."""
+    n, elements = df.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
+    return F.broadcast(df) if 64 * n + 24 * elements <= most else df.hint("merge")
 
 
 def first_by_hash(df: DataFrame, h: str, n: int, total: int, *then: str) -> DataFrame:
@@ -80,3 +102,17 @@ def first_by_hash(df: DataFrame, h: str, n: int, total: int, *then: str) -> Data
     if share < 1:
         df = df.where(F.col(h) < int(-(2**63) + share * 2**64))
     return df.orderBy(h, *then).limit(n)
+
+
+def first_of_each(df: DataFrame, h: str, label: str, n: int, *then: str) -> DataFrame:
+    """About n rows in all, in equal parts of each label, in the order of a 64-bit hash column; never more than n, but
+    one row of each label. Labels are few: their numbers of rows are counted on the driver."""
+    counts = dict(df.groupBy(label).count().collect())
+    each = max(1, n // max(1, len(counts)))
+    limits = {k: int(min(2**63 - 1, -(2**63) + 1.25 * each / c * 2**64)) for k, c in counts.items()}
+    if not limits:
+        return df.where(F.lit(False))
+    # As in `first_by_hash`: few more rows than wanted reach the ordering.
+    rows = df.where(F.col(h) <= F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col(label)])
+    rank = F.row_number().over(W.partitionBy(label).orderBy(h, *then))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")

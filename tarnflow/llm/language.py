@@ -2,12 +2,14 @@
 
 The network reads windows of `WINDOW` bytes in both directions, gives each position a distribution over the languages,
 and a document's probabilities are the mean over all positions of its whole text. It is trained in numpy by
-backpropagation through time, on the driver, on a bounded sample of labelled rows (`sample` documents, four windows
-each); scoring runs on the executors in blocks of `BLOCK` windows, whatever the texts' lengths.
+backpropagation through time, on the driver, on a bounded sample of labelled rows (`sample` documents, as many of each
+language, with `pieces` pieces of each text or the whole of it); scoring runs on the executors in blocks of `BLOCK`
+windows, whatever the texts' lengths.
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0; where no row has a label to learn from,
-all rows give `und`; repeated rows are scored alike; rows with a null id are scored and never learned from; other
-columns are ignored; an empty table gives an empty one.
+all rows give `und`; equal probabilities go to the language that is first in order; repeated rows are scored alike; rows
+with a null id are scored and never learned from; other columns are ignored, or kept where `keep` is set, but for
+columns named `lang_pred` and `score`, which are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import bucket_of, first_by_hash
+from tarnflow.llm.common import bucket_of, first_by_hash, first_of_each
 
 WINDOW, BLOCK, UNKNOWN = 128, 1024, "und"
 Params = dict[str, np.ndarray]
@@ -147,20 +149,23 @@ def fit(x: np.ndarray, filled: np.ndarray, y: np.ndarray, labels: int, hidden: i
     return p
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, sample: int = 4000, **settings) -> tuple[list[str], Params]:
-    """Languages and network, from at most `sample` labelled rows in the order of a hash."""
-    n = F.length(text)
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, sample: int = 4000, pieces: int | None = 4, **settings) -> tuple[list[str], Params]:
+    """Languages and network, from at most `sample` labelled rows in the order of a hash, equally many of each language.
+
+    Learned from are `pieces` pieces of `WINDOW` characters at hashed places of each text, or whole texts where it is None.
+    """
+    n, t = F.length(text), F.col(text)
     at = lambda k: 1 + F.pmod(F.xxhash64(F.col(doc_id), F.lit(k)), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    rows = df.where(F.col(label).isNotNull() & (n > 0) & (F.lit(True) if learn is None else learn))
-    # Windows cut at hashed places all over the text.
-    rows = rows.select(F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), *[F.substring(F.col(text), at(k).cast("int"), F.lit(WINDOW)).alias(f"w{k}") for k in range(4)])
-    got = first_by_hash(rows, "h", sample, rows.count(), "id", "w0").toPandas()
+    cut = F.array(t) if pieces is None else F.array(*[F.substring(t, at(k).cast("int"), F.lit(WINDOW)) for k in range(pieces)])
+    rows = df.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (n > 0) & (F.lit(True) if learn is None else learn))
+    rows = rows.select(F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), cut.alias("w"))
+    got = first_of_each(rows, "h", "label", sample, "id", "w").orderBy("h", "id", "label", "w").toPandas()
     names = sorted(got["label"].unique())
     if not names:
         return [], {}
-    y = np.searchsorted(names, got["label"].to_numpy(str))
-    x, filled, _ = windows([w.encode("utf-8", "replace")[:WINDOW] for k in range(4) for w in got[f"w{k}"]])
-    return names, fit(x, filled, np.tile(y, 4), len(names), **settings)
+    x, filled, of = windows([w.encode("utf-8", "replace") for ws in got["w"] for w in ws])
+    y = np.repeat(np.searchsorted(names, got["label"].to_numpy(str)), got["w"].map(len))[of]
+    return names, fit(x, filled, y, len(names), **settings)
 
 
 def probabilities(p: Params, texts: list[bytes]) -> np.ndarray:

@@ -1,162 +1,152 @@
 """Line dedup by content-defined chunks of lines (built-in functions only).
 
-A text is cut after a line when the rolling hash of that line and the one before it is divisible by `divisor`, and
-on both sides of a line of `min_words` words or more. The places depend on the lines around them only, so an insertion
-shifts nothing. A chunk of two lines or more, or of `min_words` words or more, that occurs more than once anywhere is
-removed but for its first occurrence (by doc_id, then place). Equal hashes only nominate chunks; equal bytes decide.
-
-Defined cases: a null text stays null and has no chunk; an empty text is one empty chunk that is never removed; rows
-that share doc_id and text count as one document and are treated alike; null ids sort first and are kept; other
-columns pass through, and `n_chunks` and `n_removed` replace columns of these names; an empty table gives an empty one.
-
-A repeated passage of short lines is often cut elsewhere than its first occurrence, so chunks leave most of such passages
-in place. `dedup_runs` takes out every repeated run of two lines or `min_words` words instead. Its anchors are all pairs
-of successive lines with words and all lines of `min_words` words; as each longer run consists of overlapping anchors,
-their union is every maximal run, whatever surrounds it. The cases above hold there too, `n_lines` being in the place of
-`n_chunks`; lines without a word between two lines of a pair go with it.
+1. A text is cut after a line when the rolling hash of that line and the one before it is divisible by `divisor`. The
+   places depend on the lines around them only, so an insertion shifts nothing. A chunk with two lines or more that have
+   words, from the first to the last of these, that occurs more than once anywhere leaves but for its first occurrence
+   (by doc_id, then place).
+2. At the ends of a repeated passage chunks also hold foreign lines, and a passage of few lines may hold no whole chunk.
+   So all pairs of successive lines with words that aren't inside a chunk removed before are compared in the same way,
+   as the smallest chunks of lines. As each run of two repeated lines or more consists of overlapping pairs, what leaves
+   is every repeated run as a whole, whatever surrounds it; the chunks spare the pairs of most copies.
+
+Only keys are shuffled for all texts. Equal hashes merely nominate; bodies of nominated chunks are compared byte by byte.
+
+An extension, off unless `long_words` is given: a single line of that many words counts as a chunk too.
+
+Defined cases: a null text stays null and has no line; an empty text is one line that is never removed; lines without a
+word go where they stand between removed ones; rows that share doc_id and text count as one document and are treated
+alike; null ids sort first and are kept; very long texts cost n log n of their lines; other columns pass through,
+whatever their names, but `n_lines` and `n_removed`, which are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import GIVEN, aside, back, given, store, words
+from tarnflow.llm.common import aside, back, given, release, sized, store, words
 
 #: Fixed values of the rolling hash.
 BASE, MODULUS = 31, 2147483647
+WORDED = "[^\\x20\\x09-\\x0D]"
 
 
-def with_chunks(df: DataFrame, text: str, divisor: int, min_words: int) -> DataFrame:
-    """Add `_chunks`: array of (n_lines, n_words, body), in order."""
-    df = df.withColumn("_l", F.split(F.col(text), "\n"))
-    line = lambda x: F.struct(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"), F.size(words(x)).alias("n"))
-    df = df.withColumn("_h", F.transform("_l", line))
-
-    def starts(i: Column) -> Column:
-        before, last = F.get("_h", i - 2), F.get("_h", i - 1)
-        rolling = (F.coalesce(before["h"], F.lit(0)) * BASE + last["h"]) % MODULUS
-        return (i == 0) | (F.get("_h", i)["n"] >= min_words) | (last["n"] >= min_words) | (rolling % divisor == 0)
+def _span(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
 
-    df = df.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), starts))
 
-    def chunk(s: Column, k: Column) -> Column:
-        n = F.coalesce(F.get("_s", k + 1), F.size("_l")) - s
-        return F.struct(
-            n.alias("n_lines"),
-            F.aggregate(F.slice("_h", s + 1, n), F.lit(0), lambda a, x: a + x["n"]).alias("n_words"),
-            F.array_join(F.slice("_l", s + 1, n), "\n").alias("body"),
-        )
+def _body(lines: str, span: Column) -> Column:
+    return F.array_join(F.slice(lines, span["a"] + 1, span["b"] - span["a"] + 1), "\n")
 
-    return df.withColumn("_chunks", F.transform("_s", chunk)).drop("_l", "_h", "_s")
 
+def with_lines(df: DataFrame, divisor: int) -> DataFrame:
+    """Add `_l`, the lines of `text`, `_i`, the numbers of those with words, and `_s`, the first lines of all chunks."""
+    df = df.withColumn("_l", F.split("text", "\n"))
+    df = df.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.get("_l", i).rlike(WORDED)))
+    df = df.withColumn("_h", F.transform("_l", lambda x: F.pmod(F.xxhash64(x), F.lit(MODULUS))))
 
-def _occurrences(df: DataFrame, doc_id: str, text: str, divisor: int, min_words: int) -> DataFrame:
-    """One row for each chunk that may be removed: id, t (hash of the text), k (place), key (hash of the chunk), body."""
-    rows = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    def starts(i: Column) -> Column:
+        rolling = (F.coalesce(F.get("_h", i - 2), F.lit(0)) * BASE + F.get("_h", i - 1)) % MODULUS
+        return (i == 0) | (rolling % divisor == 0)
+
+    return df.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), starts)).drop("_h")
+
+
+def with_chunks(df: DataFrame, divisor: int) -> DataFrame:
+    """Add `_l` and `_w`: the chunks with two lines with words or more, as (a, b), the first and the last such line."""
+    df = with_lines(df, divisor)
+    end = lambda k: F.coalesce(F.get("_s", k + 1), F.size("_l")) - 1
+    held = F.transform("_s", lambda s, k: F.filter(F.sequence(s, end(k)), lambda i: F.get("_l", i).rlike(WORDED)))
+    spans = F.transform(F.filter(held, lambda x: F.size(x) > 1), lambda x: _span(x[0], F.element_at(x, -1)))
+    return df.withColumn("_w", spans).drop("_i", "_s")
+
+
+def with_pairs(df: DataFrame, divisor: int, long_words: int | None) -> DataFrame:
+    """Add `_l` and `_w`: the pairs of lines that aren't inside a chunk in `gone`, and lines of `long_words` or more."""
+    df = with_lines(df, divisor)
+    size = lambda k: F.coalesce(F.get("_s", k + 1), F.size("_l")) - F.get("_s", k)
+    df = df.withColumn("_c", F.flatten(F.transform(F.sequence(F.lit(0), F.size("_s") - 1), lambda k: F.array_repeat(k, size(k)))))
+    # Chunk numbers with whether they are gone, in order: a lookup by place costs the same in a text of any length.
+    gone = F.coalesce(F.array_distinct(F.transform("gone", lambda x: F.get("_c", x["a"]))), F.array().cast("array<int>"))
+    flag = lambda ks, is_gone: F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(is_gone).alias("gone")))
+    df = df.withColumn("_g", gone).withColumn("_g", F.array_sort(F.concat(flag(F.array_except(F.sequence(F.lit(0), F.size("_s") - 1), "_g"), False), flag(F.col("_g"), True))))
+    inside = lambda a, b: (F.get("_c", a) == F.get("_c", b)) & F.get("_g", F.get("_c", a))["gone"]
+    spans = F.filter(F.transform("_i", lambda i, k: _span(i, F.get("_i", k + 1))), lambda x: x["b"].isNotNull() & ~inside(x["a"], x["b"]))
+    if long_words:
+        line = lambda i: F.get("_l", i)
+        long = lambda i: (F.length(line(i)) >= 2 * long_words - 1) & (F.size(words(line(i))) >= long_words) & ~inside(i, i)
+        spans = F.concat(spans, F.transform(F.filter("_i", long), lambda i: _span(i, i)))
+    return df.withColumn("_w", spans).drop("_i", "_s", "_c", "_g")
+
+
+def repeats(docs: DataFrame, chunked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, t, gone): the spans of each text that occur earlier. `chunked` adds `_l` and `_w` to docs (id, t, text, …)."""
+    hashed = F.transform("_w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.xxhash64(_body("_l", w)).alias("key")))
     # The outer form, as the plain one puts a filter on the whole computation of the array below it.
-    rows = with_chunks(rows, "text", divisor, min_words).select("id", "t", F.posexplode_outer("_chunks").alias("k", "c"))
-    rows = rows.where(((F.col("c.n_lines") >= 2) | (F.col("c.n_words") >= min_words)) & (F.col("c.n_words") > 0))
-    return rows.select("id", "t", "k", F.xxhash64("c.body").alias("key"), F.col("c.body").alias("body"))
-
-
-def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 4, min_words: int = 50) -> DataFrame:
-    """One row (id, t, k) for each chunk to remove."""
-    rows = _occurrences(df, doc_id, text, divisor, min_words)
+    rows = chunked(docs).select("id", "t", F.explode_outer(hashed).alias("w")).where(F.col("w").isNotNull())
+    rows = store(rows.select("id", "t", "w.*"))
     repeated = store(rows.groupBy("key").count().where("count > 1").select("key"))
-    # The bodies of chunks with a hash that occurs twice; the join is split by adaptive execution where a key is hot.
-    found = store(rows.join(repeated.hint("merge"), "key"))
-    at = F.struct("id", "t", "k")
-    first = store(found.groupBy("key", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return found.join(first.hint("merge"), ["key", "body"]).where(~at.eqNullSafe(F.col("first"))).select("id", "t", "k").distinct()
-
-
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 4, min_words: int = 50) -> DataFrame:
-    """df with its texts freed of repeated chunks, and `n_chunks` and `n_removed`."""
-    gone = removals(df, doc_id, text, divisor, min_words).groupBy("id", "t").agg(F.collect_set("k").alias("gone"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
-    columns = [given(c) for c in df.columns if c not in (text, "n_chunks", "n_removed")]
-    rows = aside(df).join(gone, given(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(given(text)) == F.col("_t")), "left")
-    rows = with_chunks(rows, f"`{GIVEN}{text}`", divisor, min_words)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), F.col("_gone"))
-    cleaned = F.when(F.col("_gone").isNull(), given(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_chunks", k)["body"]), "\n"))
-    n_chunks = F.when(given(text).isNull(), 0).otherwise(F.size("_chunks")).cast("long")
-    results = F.struct(cleaned.alias(text), n_chunks.alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    # A generator of one row, so that filters on the results aren't rewritten into all of their computation.
-    return back(rows.select(*columns, F.inline(F.array(results))))
-
-
-def _anchors(df: DataFrame, text: str, min_words: int) -> DataFrame:
-    """Add `_l`, the lines, and `_w`: array of (first, last) line of each anchor."""
-    df = df.withColumn("_l", F.split(F.col(text), "\n")).withColumn("_n", F.transform("_l", lambda x: F.size(words(x))))
-    df = df.withColumn("_i", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.get("_n", i) > 0))
-    span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    # The last line with words pairs with none; null there, and filtered.
-    pairs = F.filter(F.transform("_i", lambda i, k: span(i, F.get("_i", k + 1))), lambda w: w["b"].isNotNull())
-    long = F.transform(F.filter("_i", lambda i: F.get("_n", i) >= min_words), lambda i: span(i, i))
-    return df.withColumn("_w", F.concat(pairs, long)).drop("_n", "_i")
-
-
-def _body(lines: str, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
-
-
-def run_removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """One row (id, t, a, b) for each anchor, from line a to line b, that occurs earlier."""
-    docs = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = _anchors(docs, "text", min_words)
-    rows = rows.select("id", "t", F.explode_outer(F.transform("_w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.xxhash64(_body("_l", w["a"], w["b"])).alias("key")))).alias("w"))
-    rows = store(rows.where(F.col("w").isNotNull()).select("id", "t", "w.*"))
-    repeated = store(rows.groupBy("key").count().where("count > 1").select("key"))
-    # Bodies of the nominated anchors only.
+    # The join is split by adaptive execution where a key is hot.
     named = rows.join(repeated.hint("merge"), "key").groupBy("id", "t").agg(F.collect_set(F.struct("a", "b", "key")).alias("w"))
-    named = named.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "w")
-    found = docs.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).withColumn("_l", F.split("text", "\n"))
-    found = found.select("id", "t", F.explode_outer(F.transform("w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["key"].alias("key"), _body("_l", w["a"], w["b"]).alias("body")))).alias("w"))
+    named = store(named.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "w"))
+    found = docs.select("id", "t", "text").join(sized(named, "w"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    found = found.withColumn("_l", F.split("text", "\n"))
+    found = found.select("id", "t", F.explode_outer(F.transform("w", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), w["key"].alias("key"), _body("_l", w).alias("body")))).alias("w"))
     found = store(found.select("id", "t", "w.*"))
     at = F.struct("id", "t", "a", "b")
     first = store(found.groupBy("key", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return found.join(first.hint("merge"), ["key", "body"]).where(~at.eqNullSafe(F.col("first"))).select("id", "t", "a", "b")
-
-
-def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """df with its texts freed of every repeated run of two lines or `min_words` words, and `n_lines` and `n_removed`."""
-    gone = run_removals(df, doc_id, text, min_words).select("id", "t", F.explode(F.sequence("a", "b")).alias("k"))
-    gone = gone.groupBy("id", "t").agg(F.collect_set("k").alias("gone"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
+    later = found.join(first.hint("merge"), ["key", "body"]).where(~at.eqNullSafe(F.col("first")))
+    gone = store(later.groupBy("id", "t").agg(F.collect_set(_span(F.col("a"), F.col("b"))).alias("gone")))
+    release(rows, repeated, named, found, first)
+    return gone
+
+
+def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 4, long_words: int | None = None) -> DataFrame:
+    """(id, t, gone): spans of lines (a, b) to remove from the text with hash t of document id."""
+    docs = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    chunks = repeats(docs, lambda x: with_chunks(x, divisor))
+    known = chunks.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "gone")
+    rest = docs.join(sized(known, "gone"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("id", "t", "text", "gone")
+    pairs = repeats(rest, lambda x: with_pairs(x, divisor, long_words))
+    gone = store(chunks.union(pairs).groupBy("id", "t").agg(F.flatten(F.collect_list("gone")).alias("gone")))
+    release(chunks, pairs)
+    return gone
+
+
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 4, long_words: int | None = None) -> DataFrame:
+    """df with its texts freed of repeated runs of lines, and `n_lines` and `n_removed`."""
+    gone = removals(df, doc_id, text, divisor, long_words).select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("gone").alias("_gone"))
     columns = [given(c) for c in df.columns if c not in (text, "n_lines", "n_removed")]
-    rows = aside(df).join(gone, given(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(given(text)) == F.col("_t")), "left")
-    rows = rows.withColumn("_l", F.split(given(text), "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_gone"))
-    cleaned = F.when(F.col("_gone").isNull(), given(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_l", k)), "\n"))
+    rows = aside(df).join(sized(gone, "_gone"), given(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(given(text)) == F.col("_t")), "left")
+    rows = rows.withColumn("_l", F.split(given(text), "\n")).withColumn("_k", F.array_distinct(F.flatten(F.transform("_gone", lambda x: F.sequence(x["a"], x["b"])))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), F.col("_k"))
+    cleaned = F.when(F.col("_k").isNull(), given(text)).otherwise(F.array_join(F.transform(left, lambda k: F.get("_l", k)), "\n"))
     n_lines = F.when(given(text).isNull(), 0).otherwise(F.size("_l")).cast("long")
-    results = F.struct(cleaned.alias(text), n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    n_removed = F.when(F.col("_k").isNull(), 0).otherwise(F.size("_k")).cast("long")
+    # A generator of one row, so that filters on the results aren't rewritten into all of their computation.
+    results = F.struct(cleaned.alias(text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
     return back(rows.select(*columns, F.inline(F.array(results))))
 
 
-def sql(divisor: int = 4, min_words: int = 50) -> str:
-    """The same rows from DuckDB."""
+def sql(long_words: int = 50) -> str:
+    """The same rows from DuckDB: what leaves are all repeated pairs, and lines of `long_words` or more."""
     return rf"""
-    WITH l AS (
-        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
-        FROM documents WHERE text IS NOT NULL),
-    h AS (
-        SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h,
-            len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
+    WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM d),
+    w AS (
+        SELECT * FROM (SELECT doc_id, i, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l)
+        WHERE n > 0),
+    p AS (
+        SELECT doc_id, i AS a, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w
+        UNION ALL SELECT doc_id, i, i FROM w WHERE n >= {long_words}),
+    o AS (SELECT doc_id, a, b, array_to_string(list_slice(l, a + 1, b + 1), chr(10)) AS body FROM p JOIN d USING (doc_id) WHERE b IS NOT NULL),
+    r AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY body ORDER BY doc_id, a, b) > 1 AS gone FROM o),
+    g AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM r WHERE gone),
     s AS (
-        SELECT *, CASE WHEN i = 0 OR n >= {min_words} OR lag(n) OVER w >= {min_words}
-            OR ((coalesce(lag(h, 2) OVER w, 0) * {BASE} + lag(h) OVER w) % {MODULUS}) % {divisor} = 0 THEN 1 ELSE 0 END AS cut
-        FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM s),
-    c AS (
-        SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines, sum(n) AS n_words
-        FROM g GROUP BY doc_id, k),
-    r AS (
-        SELECT *, n_words > 0 AND (n_lines >= 2 OR n_words >= {min_words})
-            AND row_number() OVER (PARTITION BY body ORDER BY doc_id, k) > 1 AS gone FROM c)
-    SELECT d.doc_id, coalesce(x.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
-        coalesce(x.n_chunks, 0)::BIGINT AS n_chunks, coalesce(x.n_removed, 0)::BIGINT AS n_removed
-    FROM documents d LEFT JOIN (
-        SELECT doc_id, string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) AS n_chunks,
-            count(*) FILTER (WHERE gone) AS n_removed
-        FROM r GROUP BY doc_id) x USING (doc_id)"""
+        SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_removed
+        FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+    SELECT d.doc_id, coalesce(s.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
+        coalesce(s.n_lines, 0)::BIGINT AS n_lines, coalesce(s.n_removed, 0)::BIGINT AS n_removed
+    FROM documents d LEFT JOIN s USING (doc_id)"""

@@ -1,12 +1,14 @@
 """Line-first quality rules (built-in functions only).
 
 Lines are judged one by one: a line fails when it is decoration instead of prose (symbol-laden), a navigation
-strip (short items between separators), or a known boilerplate phrase. Failing lines are removed, and a document is
-rejected when what is left is too small a share of its text.
+strip (short items between separators), boilerplate (a known phrase in a line of few words), or without any sentence
+mark, whatever its length. Failing lines are removed, and a document is rejected when what is left is too small a share
+of its text.
 
 Defined cases: a null or blank text has zero counts, loses nothing and is not kept (it fails n_words); repeated rows
-are judged alike, row by row; null ids stay null; extra columns are ignored by `measure` and kept by `clean`; an
-empty table gives an empty result.
+are judged alike, row by row, so there are no ties; a very long text or line is judged as any other (n log n of its
+words); null ids stay null; extra columns are ignored by `measure` and kept by `clean`, but for columns named
+`clean_text`, `lost` and `line_kept`, which it replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,32 @@ from tarnflow.llm.common import aside, back, given, words
 
 SYMBOLS = "#*$%&|<>"
 BARS = "|>»·•"
-#: Phrases that mark a line of at most `BOILERPLATE_WORDS` words as boilerplate.
-BOILERPLATE = (
-    "cookie policy", "privacy policy", "terms of service", "terms of use", "all rights reserved", "click here",
-    "sign up", "log in", "enable javascript", "subscribe to our newsletter", "share this article", "back to top",
-    "skip to content", "read more",
-)
+#: Sentence marks of several scripts; a line that has none is a label, a list item or debris.
+MARKS = ".!?…:;。！？：；؟।"
+#: Phrases that mark a line of at most `BOILERPLATE_WORDS` words as boilerplate, by language.
+BOILERPLATE = {
+    "en": (
+        "cookie policy", "privacy policy", "terms of service", "terms of use", "all rights reserved", "click here",
+        "sign up", "log in", "enable javascript", "subscribe to our newsletter", "share this article", "back to top",
+        "skip to content", "read more",
+    ),
+    "de": (
+        "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken",
+        "jetzt registrieren", "javascript aktivieren", "newsletter abonnieren", "artikel teilen", "nach oben",
+        "zum inhalt springen", "weiterlesen", "impressum",
+    ),
+    "fr": (
+        "politique de cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés",
+        "cliquez ici", "s'inscrire", "se connecter", "activer javascript", "abonnez-vous à notre newsletter",
+        "partager cet article", "haut de page", "aller au contenu", "lire la suite", "mentions légales",
+    ),
+    "es": (
+        "política de cookies", "política de privacidad", "términos de uso", "términos y condiciones",
+        "todos los derechos reservados", "haga clic aquí", "haz clic aquí", "iniciar sesión", "activar javascript",
+        "suscríbete a nuestro boletín", "compartir este artículo", "volver arriba", "saltar al contenido", "leer más",
+        "aviso legal",
+    ),
+}
 BOILERPLATE_WORDS = 25
 WINDOW = 8
 
@@ -56,9 +78,9 @@ def line_fails(line: Column, separators: int = 3, symbol_share: float = 0.1) ->
     bars = _only(line, BARS)
     decorated = _only(line, SYMBOLS) > symbol_share * F.length(line)
     navigation = (bars >= separators) & (bars * 4 >= n_words)
-    phrase = (F.length(line) <= 250) & F.lower(line).rlike("|".join(BOILERPLATE)) & (n_words <= BOILERPLATE_WORDS)
-    dangling = (F.length(line) <= 40) & line.rlike("[^\\x20\\x09-\\x0D]") & ~line.rlike("[\\p{P}]\\s*$") & (n_words < 3)
-    return (line.rlike(f"[{SYMBOLS}{BARS}]") & (decorated | navigation)) | phrase | dangling
+    phrase = (n_words <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(x for phrases in BOILERPLATE.values() for x in phrases))
+    unmarked = ~line.rlike(f"[{MARKS}]") & line.rlike("[^\\x20\\x09-\\x0D]")
+    return unmarked | (line.rlike(f"[{SYMBOLS}{BARS}]") & (decorated | navigation)) | phrase
 
 
 def clean(df: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:

@@ -14,7 +14,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Passages on one line of 50 words or more go too."""
+    return linedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), long_words=50)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    """Near-duplicates by SimHash are one cluster, so they never share a bin."""
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack_items(packing.items_in_components(packing.items(docs), simhash.components_of(docs)))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

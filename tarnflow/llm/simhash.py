@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import GIVEN, aside, back, cut, first_by_hash, given, store
+from tarnflow.llm.common import GIVEN, aside, back, cut, first_by_hash, given, release, store
 
 Tree = list[tuple[int, int, int, int]]  # (vantage point, radius, inside, outside); a child below 0 is leaf -child - 1
 
@@ -169,15 +169,25 @@ def links(members: np.ndarray, queries: np.ndarray, bits: int, leaf: int = 256,
     return nodes[linked], nodes[label[linked]]
 
 
-def edges(classes: DataFrame, bits: int, per_shard: int = 8192, sample: int = 65536) -> DataFrame:
+def shard_size(n: int) -> int:
+    """Fingerprints of a shard: as many as keep the shards few, to a bound on a task's memory.
+
+    In 64 bits nearly all distances are about 32, so at each level a good part of all points lies near the border and goes
+    both ways: copies grow with the number of shards, not with n. Large shards cost their own tree's time only.
+    """
+    return int(np.clip(n // 64, 8192, 1 << 20))
+
+
+def edges(classes: DataFrame, bits: int, per_shard: int | None = None, sample: int = 1024) -> DataFrame:
     """Forest of links (a, b) among the distinct fingerprints `fp` of classes.
 
-    `sample` bounds the fingerprints that the driver sees to place the borders of the shards.
+    The driver sees `sample` fingerprints for each shard, 65,536 at least, to place the borders of the shards.
     """
     n = classes.count()
+    shards = -(-n // (per_shard or shard_size(n)))
     hashed = classes.select("fp", F.xxhash64("fp").alias("h"))
-    seen = first_by_hash(hashed, "h", min(sample, max(1, n // 4)), n, "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = build(seen, -(-n // per_shard), bits)
+    seen = first_by_hash(hashed, "h", min(max(65536, sample * shards), max(1, n // 4)), n, "fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = build(seen, shards, bits)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,15 +217,17 @@ def components(edge: DataFrame) -> DataFrame:
     while True:
         total = state.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            release(both)
             return state
         before = total
         up = state.select(F.col("id").alias("p"), F.col("p").alias("g"))
-        state = store(state.join(up.hint("merge"), "p").select("id", "p", "g"))
-        low = both.join(state.select(F.col("id").alias("v"), "g").hint("merge"), "v").groupBy("u").agg(F.min("g").alias("low"))
-        near = state.join(low.withColumnRenamed("u", "id"), "id")
+        jumped = store(state.join(up.hint("merge"), "p").select("id", "p", "g"))
+        low = both.join(jumped.select(F.col("id").alias("v"), "g").hint("merge"), "v").groupBy("u").agg(F.min("g").alias("low"))
+        near = jumped.join(low.withColumnRenamed("u", "id"), "id")
         best = F.least("g", "low")
         offers = near.select(F.explode(F.array(F.struct("id", best.alias("p")), F.struct(F.col("p").alias("id"), best.alias("p")))).alias("o"))
-        state = store(offers.groupBy("o.id").agg(F.min("o.p").alias("p")))
+        old, state = state, store(offers.groupBy("o.id").agg(F.min("o.p").alias("p")))
+        release(old, jumped)
 
 
 def components_of(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:

@@ -1,83 +1,101 @@
-import hashlib
 import random
-import re
+
+import pytest
 
 from tarnflow.llm import linedup
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+def brute(rows, long_words=50):
+    """{id: (text, lines removed)} for rows with distinct ids: a line goes when a pair, or long line, that covers it occurs earlier."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        if t is None:
+            out[i] = (None, 0)
+            continue
+        lines = t.split("\n")
+        full = [k for k, x in enumerate(lines) if x.split()]
+        spans = [(a, b) for a, b in zip(full, full[1:])] + [(k, k) for k in full if len(lines[k].split()) >= long_words]
+        gone = set()
+        for a, b in sorted(spans):
+            body = "\n".join(lines[a : b + 1])
+            if body in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(body)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
 
 
-def chunks(text, divisor=4, min_words=50):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    n = [len(WORD.findall(x)) for x in lines]
-    out = []
-    for i, x in enumerate(lines):
-        rolling = ((h[i - 2] if i > 1 else 0) * 31 + h[i - 1]) % 2147483647 if i else 0
-        if i == 0 or n[i] >= min_words or n[i - 1] >= min_words or rolling % divisor == 0:
-            out.append([])
-        out[-1].append(x)
-    return ["\n".join(c) for c in out]
+def prose(rng, words):
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(words))
 
 
-def brute(rows):
-    """(id, text, n_chunks, n_removed) for rows with distinct ids."""
-    seen, out = set(), []
-    for i, t in sorted(rows):
-        left, all_ = [], chunks(t) if t is not None else []
-        for c in all_:
-            n = len(WORD.findall(c))
-            if n > 0 and ("\n" in c or n >= 50) and c in seen:
-                continue
-            seen.add(c)
-            left.append(c)
-        out.append((i, None if t is None else "\n".join(left), len(all_), len(all_) - len(left)))
-    return out
+def result(df):
+    return {r["doc_id"]: (r["text"], r["n_removed"]) for r in df.collect()}
 
 
-def sample():
-    rng = random.Random(3)
-    line = lambda k=9: " ".join(rng.choice(("ab", "cd", "ef", "gh", "ij")) + str(rng.randint(0, 99)) for _ in range(k))
-    shared = [[line() for _ in range(12)] for _ in range(3)] + [[line(60)]]
-    texts = [None, "", "\n\n", line()]
-    for k in range(40):
-        own = [line() for _ in range(rng.randint(1, 8))]
-        at = rng.randint(0, len(own))
-        own[at:at] = shared[k % 4]
-        texts.append("\n".join(own))
-    return list(enumerate([*texts, texts[5], texts[5] + "\n" + line()], 1))
+@pytest.mark.parametrize(("n", "words"), [(3, 18), (6, 10), (12, 10), (40, 3)])
+def test_whole_passages_go(documents, n, words):
+    rng = random.Random(n)
+    texts, kept = [], []
+    for _ in range(12):
+        passage = [prose(rng, words) for _ in range(n)]
+        for copy in range(2):
+            before, after = ([prose(rng, 9) for _ in range(rng.randint(1, 4))] for _ in range(2))
+            texts.append("\n".join([*before, *passage, *after]))
+            kept.append("\n".join([*before, *([] if copy else passage), *after]))
+    assert result(linedup.dedup(documents(texts))) == {i: (x, n * (i % 2 == 0)) for i, x in enumerate(kept, 1)}
 
 
-def test_matches_brute_force(documents):
-    rows = sample()
-    got = linedup.dedup(documents([(i, t, None, "s", None) for i, t in rows])).select("doc_id", "text", "n_chunks", "n_removed")
-    assert sorted(map(tuple, got.collect())) == brute(rows)
+@pytest.mark.parametrize("divisor", [1, 2, 4])
+def test_matches_brute_force(documents, divisor):
+    rng = random.Random(8)
+    line = lambda: rng.choice(["", "a", "b c", "d e f", prose(rng, 5), "x " * 50])
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 9)))) for i in range(1, 60)]
+    block = [prose(rng, 7) for _ in range(30)]  # copies of many lines, which chunks find
+    rows += [(60 + k, "\n".join([prose(rng, 4), *block[k:], "b c"])) for k in range(6)] + [(70, "\n".join(block + block)), (71, None), (72, "")]
+    got = linedup.dedup(documents([(i, t, None, "s", None) for i, t in rows]), divisor=divisor, long_words=50)
+    assert result(got) == brute(rows)
 
 
-def test_shift_does_not_hide_a_passage(documents):
-    passage = [f"line {i} of a passage with some {i * i} words in it" for i in range(30)]
-    a, b = "\n".join(["first own line", *passage]), "\n".join(["another", "two more", "own lines", *passage, "and an end"])
-    got = {r["doc_id"]: r["text"] for r in linedup.dedup(documents([a, b])).collect()}
-    assert got[1] == a
-    assert sum(x in got[2].split("\n") for x in passage) < 15
+def test_chunks_alone_find_long_copies(documents, spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    block = [prose(rng, 6) for _ in range(60)]
+    docs = documents(["\n".join(["own", *block]), "\n".join(["another", "two", *block, "end"])])
+    docs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text")
+    (row,) = linedup.repeats(docs, lambda x: linedup.with_chunks(x, 4)).collect()
+    assert row["id"] == 2 and sum(x["b"] - x["a"] + 1 for x in row["gone"]) > 30
+
+
+def test_single_lines_and_blank_lines_stay(documents):
+    texts = ["one\n\ncommon line\n\ntwo", "three\n\ncommon line\n\nfour", "x " * 60, "x " * 60]
+    assert {r["text"] for r in linedup.dedup(documents(texts)).collect()} == set(texts)
+    assert sorted(r["text"] for r in linedup.dedup(documents(texts), long_words=50).collect())[0] == ""
 
 
 def test_defined_cases(odd, empty):
-    got = linedup.dedup(odd)
-    assert sorted(got.columns) == sorted(set(odd.columns) | {"n_chunks", "n_removed"})
+    got = linedup.dedup(odd, long_words=50)
+    assert sorted(got.columns) == sorted(set(odd.columns) | {"n_lines", "n_removed"})
     rows = got.collect()
     assert len(rows) == odd.count()
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
-    assert by[0][0]["text"] is None and by[0][0]["n_chunks"] == 0
-    assert by[1][0]["text"] == "" and by[1][0]["n_chunks"] == 1 and by[2][0]["n_removed"] == 0
+    assert by[0][0]["text"] is None and by[0][0]["n_lines"] == 0
+    assert by[1][0]["text"] == "" and by[1][0]["n_lines"] == 1 and by[2][0]["n_removed"] == 0
     assert {r["text"] for r in by[20]} == {by[20][0]["text"]}  # repeated rows are treated alike
     assert by[21][0]["n_removed"] > 0  # a copy of document 5
     assert by[21][0]["_id"] is None and by[21][0]["_chunks"] is None
     assert linedup.dedup(empty).count() == 0
 
 
+def test_large_removals_are_joined_by_sorting(documents, monkeypatch):
+    monkeypatch.setattr(linedup, "sized", lambda df, column: df.hint("merge"))
+    rows = [(i, f"own {i}\na b\nc d\ne f", None, None, None) for i in range(1, 20)]
+    assert result(linedup.dedup(documents(rows))) == brute([r[:2] for r in rows])
+
+
 def test_only_built_in_functions(documents):
     plan = linedup.dedup(documents(["a b\nc"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
