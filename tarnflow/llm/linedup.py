@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import aside, back, given, release, sized, store, words
+from tarnflow.llm.common import GIVEN, aside, back, given, release, sized, store, words
 
 #: Fixed values of the rolling hash.
 BASE, MODULUS = 31, 2147483647
@@ -126,7 +126,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: in
     n_lines = F.when(given(text).isNull(), 0).otherwise(F.size("_l")).cast("long")
     n_removed = F.when(F.col("_k").isNull(), 0).otherwise(F.size("_k")).cast("long")
     # A generator of one row, so that filters on the results aren't rewritten into all of their computation.
-    results = F.struct(cleaned.alias(text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    results = F.struct(cleaned.alias(GIVEN + text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
     return back(rows.select(*columns, F.inline(F.array(results))))
 
 
