@@ -117,3 +117,33 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_lost:
     # A generator of one row: filters on the verdicts stay above it, instead of being rewritten into the whole chain.
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost")
     return df.select("doc_id", F.inline(F.array(F.struct(*results))))
+
+
+def sql(separators: int = 3, symbol_share: float = 0.1, max_lost: float = 0.5) -> str:
+    """The same rows from DuckDB."""
+    quoted = "|".join(x.replace("'", "''") for phrases in BOILERPLATE.values() for x in phrases)
+    count = lambda x, characters: f"length(regexp_replace({x}, '[^{characters}]+', '', 'g'))"
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, {split('t')} AS w FROM d),
+    wins AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM w)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM wins) WHERE c > 1),
+    inside AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM twice) GROUP BY doc_id),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+    judged AS (
+        SELECT *, worded AND NOT regexp_matches(line, '[{MARKS}]')
+            OR {count('line', SYMBOLS)} > {symbol_share}::DOUBLE * length(line) OR bars >= {separators} AND bars * 4 >= n
+            OR n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{quoted}') AS fails
+        FROM (SELECT *, len({split('line')}) AS n, {count('line', BARS)} AS bars, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded FROM l)),
+    lines AS (
+        SELECT doc_id, (count(*) FILTER (WHERE worded) - count(DISTINCT line) FILTER (WHERE worded))::BIGINT AS n_dup_lines, bool_or(fails) AS cleaned,
+            greatest(coalesce(sum(length(line) + 1) FILTER (WHERE NOT fails), 0) - 1, 0) AS left_over
+        FROM judged GROUP BY doc_id),
+    m AS (
+        SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {count('t', SYMBOLS)}::BIGINT AS n_symbols,
+            n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
+            CASE WHEN length(t) > 0 AND cleaned THEN 1 - left_over / length(t)::DOUBLE ELSE 0.0::DOUBLE END AS lost
+        FROM w JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= {max_lost} AS kept, lost
+    FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)"""

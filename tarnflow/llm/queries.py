@@ -70,4 +70,10 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": linedup.sql(), "op9_mixing": mixing.sql(), "op10_topk": topk.sql()}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.sql(),
+    "op4_line_dedup": linedup.sql(),
+    "op8_secrets": secrets.sql(),
+    "op9_mixing": mixing.sql(),
+    "op10_topk": topk.sql(),
+}

@@ -1,7 +1,7 @@
 """Secret scans through a trigram inverted index.
 
-Documents are indexed in blocks of 64 inside a task: for each trigram (hashed to 16 bits) a posting list, kept as a
-64-bit set of the block's documents. From each rule's regex a Boolean query of trigrams is derived that every match
+Documents are indexed in blocks of 64 inside a task: for each trigram (hashed to 16 bits) a posting list, kept as a row
+of flags, one for each of the block's documents (4 MB a block). From each rule's regex a Boolean query of trigrams is derived that every match
 must satisfy; posting lists are intersected and united as it says, and only the candidates are matched. A rule without
 mandatory trigrams scans its whole block. Hashing can only add candidates, so results are those of a full scan.
 
@@ -166,3 +166,30 @@ def digest(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin([r.kind for r in BASE]))
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+#: What a match of a base rule must satisfy besides, as SQL.
+_ACCEPTED = {"assign": "length(regexp_extract(m, '{pattern}', 2)) >= 6", "access": "length(m) >= 20", "hex": "length(m) >= 24"}
+
+
+def sql(rules: tuple[Rule, ...] = BASE + ADDED) -> str:
+    """The same rows as `digest` from DuckDB: places are sums over the matches and what stands between them."""
+    found = []
+    for order, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        accepted = _ACCEPTED.get(r.kind, "TRUE").replace("{pattern}", pattern)
+        found.append(f"""
+        SELECT doc_id, '{r.kind}' AS kind, {order} AS o, start, start + length(m) AS stop FROM (
+            SELECT doc_id, m, k, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS start FROM (
+                SELECT doc_id, unnest(ms) AS m, unnest(list_slice(gs, 1, len(ms))) AS g, generate_subscripts(ms, 1) AS k FROM (
+                    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM d)))
+        WHERE {accepted}""")
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o)"
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    f AS ({' UNION ALL '.join(found)}),
+    s AS (SELECT doc_id, {counts}, {listed} FILTER (WHERE kind IN ({base})) AS base, {listed} AS spans FROM f GROUP BY doc_id)
+    SELECT d.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN s USING (doc_id)"""
