@@ -87,6 +87,42 @@ def test_a_shard_is_packed_as_brute_force_packs_it(documents):
     assert [last[i]["bin"] for i in order] == want
 
 
+def test_every_shard_is_packed_as_brute_force_packs_it(documents):
+    rows = sample()
+    got = packing.pack(documents(rows), capacity=64, per_shard=90).collect()
+    by_shard = defaultdict(dict)
+    for r in got:
+        if r["bin"] is not None and r["size"] < 64:
+            by_shard[r["shard"]][r["doc_id"]] = r
+    source, cluster = {r[0]: r[3] for r in rows}, {r[0]: r[1] for r in rows}
+    assert len(by_shard) > 3
+    for last in by_shard.values():
+        order = sorted(last, key=lambda i: (-last[i]["size"], i))
+        want = brute([(last[i]["size"], source[i] if source[i] is not None else -1, cluster[i]) for i in order], 64)
+        assert [last[i]["bin"] for i in order] == want
+
+
+def test_near_copies_of_several_sources_do_not_meet(documents):
+    from tarnflow.llm import simhash
+
+    rng = random.Random(3)
+    w = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
+    rows = [(i, " ".join([*w[:-1], f"end{i}"]), None, f"s{i}", None) for i in range(6)] + [(10 + i, f"other {i} words {i * i}", None, f"t{i}", None) for i in range(6)]
+    df = documents(rows)
+    found = simhash.components_of(df, bits=8)
+    clustered = packing.items_in_components(packing.items(df), found)
+    got = {r["doc_id"]: (r["shard"], r["bin"]) for r in packing.pack_items(clustered).collect()}
+    of = {r["id"]: r["root"] for r in found.collect()}
+    near = [i for i in range(6) if of[i] == of[0]]
+    assert len(near) > 3 and len({got[i] for i in near}) == len(near)
+
+
+def test_a_frequent_row_is_dealt_to_many_shards(documents):
+    rows = [(None, "a b c", None, "s", None)] * 500
+    got = packing.pack(documents(rows), per_shard=50).collect()
+    assert sorted(r["copy"] for r in got) == list(range(500)) and len({r["shard"] for r in got}) == 10
+
+
 def test_defined_cases(odd, empty):
     got = packing.pack(odd).collect()
     assert {r["doc_id"] for r in got} == {r["doc_id"] for r in odd.select("doc_id").collect()}
