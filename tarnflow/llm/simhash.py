@@ -175,7 +175,7 @@ def shard_size(n: int) -> int:
     In 64 bits nearly all distances are about 32, so at each level a good part of all points lies near the border and goes
     both ways: copies grow with the number of shards, not with n. Large shards cost their own tree's time only.
     """
-    return int(np.clip(n // 64, 8192, 1 << 20))
+    return int(np.clip(n // 32, 8192, 1 << 20))
 
 
 def edges(classes: DataFrame, bits: int, per_shard: int | None = None, sample: int = 1024) -> DataFrame:
