@@ -41,9 +41,18 @@ def calculate(x: pd.Series) -> pd.Series:
     return x.map(evaluate).astype(float)
 
 
-def sensor(seed: int = 0) -> Column:
-    """A reading from 190 to 219."""
-    return (F.floor(F.rand(seed) * 30) + 190).cast("int")
+#: The limit of the spindle temperature.
+LIMIT = 180
+
+
+def reading(value: Column) -> Column:
+    """A reading of the spindle temperature in words, in whole degrees."""
+    return F.concat(F.lit("主轴实时温度："), F.floor(value).cast("string"), F.lit("℃"))
+
+
+def above(value: Column, limit: float = LIMIT) -> Column:
+    """Whether a reading is above the limit; at the limit it isn't."""
+    return value > limit
 
 
 def current_time(now: Column) -> Column:

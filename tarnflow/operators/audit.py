@@ -23,12 +23,15 @@ def find(log: DataFrame, start=None, end=None, user: str | None = None) -> DataF
     return log.orderBy(F.col("create_time").desc(), "id")
 
 
+def line() -> Column:
+    """A record as the report shows it."""
+    when = F.date_format("create_time", "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.lit("["), when, F.lit("] 用户:"), F.col("user_id"), F.lit(" 操作:"), F.col("operation"), F.lit("\n  详情: "), F.col("details"))
+
+
 def report_lines(log: DataFrame, start, end) -> DataFrame:
     """(id, create_time, line) of the report's records. A report of any length is written from this with `write.text`."""
-    rows = find(log, start, end)
-    when = F.date_format("create_time", "yyyy-MM-dd HH:mm:ss")
-    line = F.concat(F.lit("["), when, F.lit("] 用户:"), F.col("user_id"), F.lit(" 操作:"), F.col("operation"), F.lit("\n  详情: "), F.col("details"))
-    return rows.select("id", "create_time", line.alias("line"))
+    return find(log, start, end).select("id", "create_time", line().alias("line"))
 
 
 def header(log: DataFrame, start, end) -> DataFrame:

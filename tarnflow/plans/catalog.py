@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tarnflow import schema
 from tarnflow.functions import prompts, rules, text, tools
 from tarnflow.operators import audit, compliance, dialog, index, rerank, retrieve
+from tarnflow.operators.knowledge import KnowledgeBase
+from tarnflow.operators.numbering import numbered
 from tarnflow.sources import corpus
 from tarnflow.streaming import logs
 
@@ -564,7 +566,11 @@ def session_upsert(spark, sf_dir):
 
 
 def audit_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("props").alias("details"), F.col("ts").alias("create_time"))
+    return audit_records(table(spark, sf_dir, "events"))
+
+
+def audit_records(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("props").alias("details"), F.col("ts").alias("create_time"))
 
 
 _SPAN = "(SELECT min(ts) + INTERVAL 1 HOUR AS a, min(ts) + INTERVAL 49 HOUR AS b FROM events)"
@@ -636,9 +642,51 @@ def document_sink(spark, sf_dir):
     return spark.read.schema(written.schema).parquet(path).select(F.md5(F.col("content").cast("binary")).alias("content_md5"), "regulation_type", "priority", "chemical_type", F.size("embedding").alias("width"))
 
 
-@query("SELECT event_id, value > 180 AS above FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, '主轴实时温度：' || floor(value)::BIGINT || '℃' AS reading, value > 180 AS above FROM events WHERE value IS NOT NULL")
 def sensor_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", (F.col("value") > 180).alias("above"))
+    value = F.col("value")
+    return table(spark, sf_dir, "events").where(value.isNotNull()).select("event_id", tools.reading(value).alias("reading"), tools.above(value).alias("above"))
+
+
+@query(_expected(leaves=("true", "true", "false", "false", "false"), clears=("false", "false", "true", "false", "false"), asks=("false", "false", "false", "true", "false")))
+def commands(spark, sf_dir):
+    x = F.col("x")
+    said = _spoken(spark, sf_dir, "' EXIT '", "'退出'", "'Clear'", "'历史'", "text")
+    return said.select("conv_id", "turn", *[rules.is_command(x, names).alias(c) for c, names in (("leaves", rules.EXIT), ("clears", rules.CLEAR), ("asks", rules.HISTORY))])
+
+
+@query(f"""WITH {TURNS} SELECT session_id, turn, tool, CASE tool WHEN 'GetSpindleTemperature' THEN '主轴实时温度：205℃' ELSE '{tools.THRESHOLD}' END AS result
+    FROM (SELECT session_id, turn, unnest(['GetSpindleTemperature', 'GetTemperatureThreshold']) AS tool FROM turns WHERE contains(content, '温度') OR contains(content, '阈值'))""")
+def plan_execute(spark, sf_dir):
+    """Each turn's plan, and the results of the tools that it names."""
+    planned = conversations(spark, sf_dir).select("session_id", "turn", F.explode(rules.tool_plan(F.col("content"))["tool_names"]).alias("tool"))
+    known = spark.range(1).select(F.explode(F.create_map(F.lit("GetSpindleTemperature"), tools.reading(F.lit(205.5)), F.lit("GetTemperatureThreshold"), F.lit(tools.THRESHOLD))).alias("tool", "result"))
+    return tools.call(planned, known).select("session_id", "turn", "tool", "result")
+
+
+@query("SELECT conv_id, turn, '[' || length(text) || '] ' || substr(text, 1, 50) AS answer FROM conversations")
+def generated(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tools.generate(F.col("text")).alias("answer"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS n FROM events")
+def dense_ids(spark, sf_dir):
+    return numbered(table(spark, sf_dir, "events").select("event_id", "ts"), F.col("ts").desc(), F.col("event_id")).select("event_id", "n")
+
+
+@query("""SELECT row_number() OVER (ORDER BY text) - 1 AS doc_id, md5(text) AS content_md5, NULL::VARCHAR AS regulation_type FROM documents
+    UNION ALL SELECT (SELECT count(*) FROM documents) + row_number() OVER (ORDER BY html) - 1, md5(html), 'page' FROM pages""")
+def kb_insert(spark, sf_dir):
+    """Two batches: ids of the second go on from the count of the first."""
+    kb = KnowledgeBase(spark).add(table(spark, sf_dir, "documents").select(F.col("text").alias("content")))
+    kb.add(table(spark, sf_dir, "pages").select(F.col("html").alias("content"), F.lit("page").alias("regulation_type")))
+    return kb.docs.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "regulation_type")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, concat_ws('|', nullif(regulation_type, ''), priority, nullif(chemical_type, '')) AS metadata FROM docs")
+def document_metadata(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("source_file", F.lit(""))
+    return d.select("doc_id", F.array_join(F.map_values(corpus.metadata(d)), "|").alias("metadata"))
 
 
 @query(f"SELECT p_partkey, ({_case('p_partkey', 'p_partkey + p_size * 3', '(p_partkey + p_size) * 3', '-p_partkey / 2.0::DOUBLE', 'NULL', 'NULL')})::DOUBLE AS value FROM part")
@@ -669,13 +717,13 @@ def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return logs.read(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema)
 
 
-@query("SELECT event_id, user_id, event_type FROM events")
+@query("SELECT event_id AS id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] 用户:' || user_id || ' 操作:' || event_type || chr(10) || '  详情: ' || props AS line FROM events")
 def audit_stream(spark, sf_dir):
-    """Copied through a stream in append mode."""
-    schema = table(spark, sf_dir, "events").schema
+    """Records are worded as they come in, and appended once each."""
     base = shared_folder(spark)
-    logs.append(streamed(spark, sf_dir, "events"), f"{base}/log", f"{base}/state").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/log").select("event_id", "user_id", "event_type")
+    lines = audit_records(streamed(spark, sf_dir, "events")).select("id", audit.line().alias("line"))
+    logs.append(lines, f"{base}/log", f"{base}/state").awaitTermination()
+    return spark.read.schema(lines.schema).parquet(f"{base}/log")
 
 
 @query(ORACLES["fact_latest"])
