@@ -5,10 +5,13 @@ there, and what it leaves is dealt anew to the others by weight until none is ab
 floor(rate) whole times; for the fraction that is left, documents are added in the order of a seeded hash until the
 source's target is met, and the document at the border gives the words that are still missing.
 
+Sources are ordered and clamped in one task, a row each: thousands of them, not one for each web domain.
+
 The order is never sorted as a whole: per source, hash ranges are summed first, and only the range that holds the
 border is ordered row by row, so a source with most of the rows is no hot group.
 
-Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own, last in order; rows
+Defined cases: a null or empty text has size 0 and takes 0; a very long text is one item, whose border words may be a
+part of it; a null source is a source of its own, last in order; rows
 that share doc_id and source stand at one place of the order and share the border's words by size; an empty table
 gives an empty one; other columns pass through `mix`, and columns of the results' names are replaced.
 """

@@ -11,7 +11,8 @@
 
 Exact at every size: the sample decides how evenly shards fill, never which pairs are found.
 
-Defined cases: a null or blank text has fingerprint zero, linked like any other; rows with equal fingerprints share a
+Defined cases: a null or blank text has fingerprint zero, linked like any other; a very long text is read whole, in
+bounded memory; rows with equal fingerprints share a
 component; null ids are ignored for the component's name unless a component has no other; an empty table gives an
 empty one; columns besides the two named are ignored by `near_duplicates` and kept by `dedup`.
 """

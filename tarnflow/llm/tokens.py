@@ -5,7 +5,8 @@ block holds whole documents, up to about `coder.MOST` ids (a longer document mak
 a Parquet table: part and block (its place), the documents' ids and lengths, and the coded bytes. Places of documents
 in the whole stream are sums over blocks, never over rows.
 
-Defined cases: a null or empty text is a document of the end id alone; null ids come first, and rows of one id are
+Defined cases: a null or empty text is a document of the end id alone; a very long text is one document of one block;
+null ids come first, and rows of one id are
 ordered by a hash of the text; other columns are ignored; an empty table gives files without a block.
 """
 
