@@ -69,7 +69,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = 8000, **settings) -> Weights:
     """Weights from at most `sample` labelled rows."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (F.lit(True) if learn is None else learn))
-    chosen = chosen.select(F.col(doc_id).alias("id"), (F.col(label) > 0).cast("int").alias("y"), F.xxhash64(F.lit("toxicity"), F.col(doc_id)).alias("h")).distinct()
+    chosen = chosen.select(F.col(doc_id).alias("id"), (F.col(label).cast("int") > 0).cast("int").alias("y"), F.xxhash64(F.lit("toxicity"), F.col(doc_id)).alias("h")).distinct()
     chosen = first_of_each(chosen, "h", "y", sample, "id")
     texts = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     # At most `sample` rows of 20 bytes are broadcast, so that the texts aren't shuffled; then one text of each id stays.
