@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import language, linedup, mixing, packing, quality, secrets, simhash, tokens, topk, toxicity
+from tarnflow.llm import language, linedup, mixing, packing, prefixes, quality, secrets, simhash, tokens, topk, toxicity
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -58,6 +58,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents(tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.with_heads(prefixes.gathered(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op5_tokens": op5_tokens,
     "op2_packing": op2_packing,
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
@@ -76,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op8_secrets": secrets.sql(),
     "op9_mixing": mixing.sql(),
     "op10_topk": topk.sql(),
+    "op13_prefix_trie": prefixes.sql(),
 }
