@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import language, linedup, mixing, packing, prefixes, quality, secrets, simhash, tokens, topk, toxicity
+from tarnflow.llm import language, linedup, mixing, packing, prefixes, quality, secrets, simhash, tokens, topk, toxicity, whitening
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -62,6 +62,10 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(prefixes.with_heads(prefixes.gathered(read(spark, sf_dir, "conversations"))))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op5_tokens": op5_tokens,
     "op2_packing": op2_packing,
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op11_whitening": op11_whitening,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
