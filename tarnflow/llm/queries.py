@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm import language, linedup, mixing, packing, prefixes, quality, secrets, simhash, tokens, topk, toxicity, whitening
+from tarnflow.llm import graph, language, linedup, mixing, packing, prefixes, quality, secrets, simhash, tokens, topk, toxicity, whitening
 from tarnflow.llm.common import bucket_of, read
 
 
@@ -66,6 +66,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(read(spark, sf_dir, "embeddings")))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search_all(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op5_tokens": op5_tokens,
     "op2_packing": op2_packing,
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_neighbours": op12_neighbours,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
