@@ -90,12 +90,47 @@ def latest(found: DataFrame) -> DataFrame:
 
 def profile(found: DataFrame) -> DataFrame:
     """A row per session with its facts as columns."""
-    keys = ("user_name", "assistant_name", "主轴温度", "安全阈值")
-    return found.groupBy("session_id").agg(*[F.max_by("value", F.when(F.col("key") == k, F.col("turn"))).alias(k) for k in keys])
+    return found.groupBy("session_id").agg(*[F.max_by("value", F.when(F.col("key") == k, F.col("turn"))).alias(k) for k in KEYS])
+
+
+#: Turns that are looked at together where facts are carried on; a longer session is several groups.
+SPAN = 4096
+KEYS = ("user_name", "assistant_name", "主轴温度", "安全阈值")
+
+
+def known(questions: DataFrame, found: DataFrame, span: int = SPAN) -> DataFrame:
+    """questions (session_id, turn, …) with the four facts as columns, as they stood before that turn.
+
+    An as-of join as a running last value: a fact counts for all later turns until one of its key replaces it, facts of the
+    turn itself don't (a question is answered before it is read for facts). Of two values of a key in one turn the larger
+    counts; facts or questions without a turn have no place in the order: the former are ignored, the latter know nothing.
+    A session is cut into spans of turns: each carries on what the last value before it was, so none is one large group.
+    """
+    rest = [c for c in questions.columns if c not in ("session_id", "turn")]
+    block = F.floor(F.col("turn") / span).alias("block")
+    stated = found.where("turn IS NOT NULL").groupBy("session_id", block, F.col("turn").cast("long").alias("turn")).agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in KEYS])
+    at_end = stated.groupBy("session_id", "block").agg(*[F.max_by(k, F.when(F.col(f"`{k}`").isNotNull(), F.col("turn"))).alias(k) for k in KEYS])
+    asked = questions.select("session_id", block, F.col("turn").cast("long").alias("turn"), F.struct(F.lit(True).alias("_asked"), "turn", *[F.col(f"`{c}`") for c in rest]).alias("_q"))
+    # Spans with a question and none with a fact need what was carried on, too.
+    spans = at_end.unionByName(asked.where("turn IS NOT NULL").select("session_id", "block").distinct(), allowMissingColumns=True)
+    before = W.partitionBy("session_id").orderBy("block").rangeBetween(W.unboundedPreceding, -1)
+    carried = spans.select("session_id", "block", *[F.last(k, ignorenulls=True).over(before).alias(f"_{k}") for k in KEYS]).distinct()
+    events = stated.unionByName(asked, allowMissingColumns=True)
+    inside = W.partitionBy("session_id", "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    rows = events.select("session_id", "block", "_q", *[F.last(k, ignorenulls=True).over(inside).alias(k) for k in KEYS]).where("_q._asked")
+    full = rows.join(carried, ["session_id", "block"], "left")
+    facts_of = lambda k: F.when(F.col("_q.turn").isNotNull(), F.coalesce(F.col(f"`{k}`"), F.col(f"`_{k}`"))).alias(k)
+    return full.select("session_id", "_q.turn", *[F.col(f"_q.`{c}`").alias(c) for c in rest], *map(facts_of, KEYS))
 
 
 def answers(questions: DataFrame, found: DataFrame) -> DataFrame:
-    """questions (session_id, content, …) with `answer` from the session's facts as they stood before the question."""
-    known = profile(found)
-    q = questions.join(known, "session_id", "left")
-    return q.withColumn("answer", rules.memory_answer(F.col("content"), *[F.col(f"`{k}`") for k in ("user_name", "assistant_name", "主轴温度", "安全阈值")])).select(*questions.columns, "answer")
+    """questions (session_id, content, …) with `answer` from the session's facts as they stood before the question's `turn`;
+    questions without that column are asked now, after all that was said."""
+    q = known(questions, found) if "turn" in questions.columns else questions.join(profile(found), "session_id", "left")
+    return q.withColumn("answer", rules.memory_answer(F.col("content"), *[F.col(f"`{k}`") for k in KEYS])).select(*questions.columns, "answer")
+
+
+def dialogue(turns: DataFrame) -> DataFrame:
+    """The turns of users with `answer`: each is answered from memory where that has an answer (else null), and only then read
+    for facts itself, as are the turns of assistants. So asking for one's own name replaces it by what follows the words."""
+    return answers(turns.where("role = 'user'"), facts(turns))

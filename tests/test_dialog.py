@@ -58,6 +58,31 @@ def test_facts_and_answers(spark, turns):
     assert {r["key"]: r["value"] for r in dialog.latest(dialog.facts(b)).collect()}["user_name"] == "谁？"
 
 
+def said(spark, *contents):
+    """A session of these turns, users first, by turns."""
+    return spark.createDataFrame([("s", i, "assistant" if i % 2 else "user", c, T0) for i, c in enumerate(contents)], schema.TURN)
+
+
+def test_asking_for_the_name_replaces_it(spark):
+    """A question is answered from what stood before it, and only then read for facts."""
+    turns = said(spark, "我是谁？", "不知道", "你好，我叫李工，你叫王工", "你好", "我是谁？", "你叫 李工，我叫 王工！", "我是谁？", "-", "我叫李工程师", "-", "我叫什么名字")
+    got = {r["turn"]: r["answer"] for r in dialog.dialogue(turns).collect()}
+    # What names itself also asks: 我叫 and 你叫 are in the words that do.
+    assert got == {0: None, 2: "你叫 谁？！", 4: "你叫 李工，我叫 王工！", 6: "你叫 谁？，我叫 王工！", 8: "你叫 谁？，我叫 王工！", 10: "你叫 李工程师，我叫 王工！"}
+
+
+@pytest.mark.parametrize("span", [4096, 3])
+def test_facts_as_of_a_turn(spark, span):
+    """Spans of a long session carry on; ties, null turns, repeated questions, sessions without a fact."""
+    found = spark.createDataFrame([("a", "user_name", "one", 1), ("a", "user_name", "two", 5), ("a", "主轴温度", "9 ℃", 20), ("a", "user_name", "x", None), ("b", "安全阈值", "1℃", 2), ("b", "安全阈值", "2℃", 2)], "session_id string, key string, value string, turn long")
+    asked = [("a", t, "q") for t in (0, 1, 2, 5, 9, 20, 21, 100)] + [("a", 9, "q"), ("a", None, "q"), ("b", 2, "q"), ("b", 3, "q"), ("c", 1, "q")]
+    rows = dialog.known(spark.createDataFrame(asked, "session_id string, turn long, content string"), found, span).collect()
+    got = sorted(((r["session_id"], -1 if r["turn"] is None else r["turn"], r["user_name"], r["主轴温度"], r["安全阈值"]) for r in rows), key=repr)
+    name = {0: None, 1: None, 2: "one", 5: "one", 9: "two", 20: "two", 21: "two", 100: "two", None: None}
+    want = [("a", -1 if t is None else t, name[t], "9 ℃" if t in (21, 100) else None, None) for s, t, _ in asked if s == "a"]
+    assert got == sorted([*want, ("b", 2, None, None, None), ("b", 3, None, None, "2℃"), ("c", 1, None, None, None)], key=repr)
+
+
 def log(spark):
     rows = [(1, "u", "op", "d1", False, T0), (2, "u", "op", "d2", True, T0 + timedelta(hours=1)), (3, "v", "op", "d3", True, T0 + timedelta(hours=1)), (4, "u", "op", "d4", True, T0 + timedelta(days=2))]
     return spark.createDataFrame(rows, schema.AUDIT)
