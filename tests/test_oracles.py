@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tarnflow.plans import catalog, sessions  # noqa: F401
+from tarnflow.plans import catalog, indexes, sessions  # noqa: F401
 
 
 def plain(x):
