@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import blockmax, vectorindex
-from tarnflow.plans.catalog import CLASS, DOCS, TOKENS, documents, query, shared_folder, table
+from tarnflow.operators.segments import SegmentedIndex
+from tarnflow.plans.catalog import BM25, CLASS, DOCS, QUERY, TOKENS, documents, query, shared_folder, table
 
 _GRAMS = "unnest(list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1))))"
 
@@ -43,3 +44,19 @@ def vector_indexed(spark, sf_dir):
     vectorindex.write(v, f"{base}/index", "vec_id")
     asked = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return vectorindex.search(spark, f"{base}/index", asked).select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"))
+
+
+_LEFT = BM25.replace(DOCS, DOCS.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT page_id + 10000000, html, NULL, NULL, NULL FROM pages)"))
+
+
+@query(f"WITH {_LEFT} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0")
+def segmented_search(spark, sf_dir):
+    """Three inserts (documents by halves, pages), a delete between them, a merge: scores are those of what is left."""
+    held = SegmentedIndex.create(spark, shared_folder(spark), fan=2)
+    docs = documents(spark, sf_dir).select("doc_id", "content")
+    held.insert(docs.where("doc_id % 2 = 0"))
+    held.insert(docs.where("doc_id % 2 = 1"))
+    held.delete(docs.select("doc_id").where("doc_id % 7 = 3"))
+    held.insert(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000).alias("doc_id"), F.col("html").alias("content")))
+    held.merge()
+    return held.scores(QUERY).select("doc_id", F.round("score", 6).alias("score"))
