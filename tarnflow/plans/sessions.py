@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import dialog
-from tarnflow.plans.catalog import _case, query, table
+from tarnflow.plans.catalog import _case, query, shared_folder, streamed, table
+from tarnflow.streaming import journal, store
 
 #: What a user and an assistant say in the form that (conv_id + turn) has; SQL for Spark and for DuckDB.
 _ASKS = ("'我叫李' || turn || '，你叫王' || conv_id || '。' || text", "text || '我是谁？'", "text || '你是谁'", "text || '刚才的温度'", "text || '安全吗'")
@@ -36,3 +37,39 @@ _NAMED = f"coalesce({_BOTH[0]}, '你叫 ' || u || '！')", f"coalesce({_BOTH[1]}
 def answers_as_of(spark, sf_dir):
     """Every question of every conversation, answered from what was said before it."""
     return dialog.dialogue(told(table(spark, sf_dir, "conversations"))).select("session_id", "turn", "answer")
+
+
+_IDLE = 43_200  # seconds
+
+
+@query(f"""WITH e AS (
+        SELECT user_id, ts, epoch_ms(ts) AS ms, event_id, event_type, props, event_type <> 'error' AS bump,
+            max(CASE WHEN event_type <> 'error' THEN epoch_ms(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events),
+    c AS (SELECT *, sum((bump AND (before IS NULL OR ms - before > {_IDLE}000))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS chain FROM e WHERE bump OR ms - before <= {_IDLE}000),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, chain ORDER BY ts, event_id) AS n FROM c),
+    s AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN n END) OVER (PARTITION BY user_id, chain) AS first FROM n),
+    a AS (SELECT *, max(CASE WHEN event_type IN ('error', 'purchase') THEN n ELSE 0 END) OVER (PARTITION BY user_id, chain) AS cleared FROM s WHERE n >= first)
+    SELECT user_id::VARCHAR AS session_id, min(ts) AS created_at, max(CASE WHEN bump THEN ts END) AS last_updated, 'signup' AS session_type,
+        count(*) FILTER (WHERE event_type = 'click' AND n > cleared)::BIGINT AS n_turns, count(DISTINCT CASE WHEN event_type = 'view' THEN props END)::BIGINT AS n_data,
+        CASE WHEN max(CASE WHEN bump THEN ms END) + {_IDLE}001 <= (SELECT epoch_ms(max(ts)) FROM events) THEN 'evicted' ELSE 'live' END AS status
+    FROM a GROUP BY user_id, chain""")
+def session_store(spark, sf_dir):
+    """Events as operations on sessions (signup: upsert, click: turn, view: data, purchase and error: the two clears); what was
+    evicted after twelve idle hours, and what is live at the end."""
+    base = shared_folder(spark)
+    op = F.expr(f"CASE event_type WHEN 'signup' THEN '{store.UPSERT}' WHEN 'click' THEN '{store.TURN}' WHEN 'view' THEN '{store.DATA}' WHEN 'purchase' THEN '{store.CLEAR_HISTORY}' ELSE '{store.CLEAR_DIALOG_HISTORY}' END")
+    content = F.expr("CASE event_type WHEN 'signup' THEN event_type ELSE props END")
+    events = streamed(spark, sf_dir, "events")
+    operations = events.select(F.col("user_id").cast("string").alias("session_id"), op.alias("op"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit("user").alias("role"), content.alias("content"), F.col("props").alias("key"))
+    store.run(operations, f"{base}/log", f"{base}/state", _IDLE).awaitTermination()
+    at = lambda c: F.col(c).cast(events.schema["ts"].dataType).alias(c)
+    return store.sessions(spark, f"{base}/log").select("session_id", at("created_at"), at("last_updated"), "session_type", "n_turns", "n_data", "status")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS id, user_id::VARCHAR AS user_id, event_type AS operation, props AS details FROM events")
+def audit_journal(spark, sf_dir):
+    """Events as audit records, numbered without a gap as they are appended."""
+    base = shared_folder(spark)
+    records = streamed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("create_time"), F.col("event_id").alias("seq"))
+    journal.append(records, f"{base}/log", f"{base}/state", "create_time", "seq").awaitTermination()
+    return journal.Journal(spark, f"{base}/log").read("user_id string, operation string, details string").select("id", "user_id", "operation", "details")
