@@ -13,6 +13,7 @@ ordered by a hash of the text; other columns are ignored; an empty table gives f
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -55,13 +56,32 @@ def _numbered(lists: pa.ListArray) -> tuple[pa.ListArray, pa.Array]:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]), pa.int32()), coded), coded.dictionary
 
 
+#: How a tokenizer normalises and splits texts if they may be taken apart into words and pieces beforehand.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its words and pieces, read one by one."""
+    plain = tokenizer.get("normalizer") == NORMALIZER and tokenizer.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    marks = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in tokenizer.get("added_tokens") or ())
+    return plain and marks and not tokenizer.get("truncation") and not tokenizer.get("padding")
+
+
 class Encoder:
-    """Ids of texts from a tokenizer of the tokenizers library, which reads each piece once while it is remembered."""
+    """Ids of texts from a tokenizer of the tokenizers library.
+
+    Where the tokenizer works word by word as `apart` tells, each piece is read once while it is remembered; any other
+    tokenizer reads each text as a whole.
+    """
 
     def __init__(self, path: str, end: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are what runs side by side
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.apart = apart(json.load(f))
         self.tokenizer, self.end, self.known = Tokenizer.from_file(path), array("I", [end]).tobytes(), {"": b""}
 
     def __call__(self, text: str | None) -> bytes:
@@ -75,9 +95,14 @@ class Encoder:
             held.append(t or "")
             size += len(t or "")
             if size > AT_ONCE:
-                yield from self._together(pa.array(held, pa.string()))
+                yield from self._read_all(held)
                 held, size = [], 0
-        yield from self._together(pa.array(held, pa.string()))
+        yield from self._read_all(held)
+
+    def _read_all(self, texts: list[str]) -> Iterator[bytes]:
+        if self.apart:
+            return self._together(pa.array(texts, pa.string()))
+        return (ids + self.end for ids in self._whole(texts))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -90,3 +90,42 @@ def test_defined_cases(odd, empty):
     ids = [i for _, _, i in starts]
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
     assert tokens.documents(tokens.write(empty, PATH)).count() == 0
+
+
+def other(path, **parts):
+    """The tokenizer's file with some parts in another way."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        held = json.load(f) | parts
+    path.write_text(json.dumps(held), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize("parts", [
+    {"normalizer": None},
+    {"pre_tokenizer": {"type": "WhitespaceSplit"}},
+    {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Whitespace"}, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}]}},
+    {"added_tokens": [{"id": 0, "content": "hello", "single_word": False, "lstrip": False, "rstrip": False, "normalized": True, "special": False}]},
+    {"truncation": {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}},
+])
+def test_other_tokenizers_read_whole_texts(spark, documents, tmp_path, parts):
+    from tokenizers import Tokenizer
+
+    path = other(tmp_path / "t.json", **parts)
+    whole = Tokenizer.from_file(path)
+    texts = [*TEXTS, "Hello a-b hello", "hello  World's  12 x"]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    encoder = tokens.Encoder(path, 2)
+    assert not encoder.apart and [np.frombuffer(x, np.uint32).tolist() for x in encoder.each(texts)] == want
+    got = {r["doc_id"]: r["ids"] for r in tokens.ids(tokens.write(documents(texts), path)).collect()}
+    assert got == {i + 1: ids for i, ids in enumerate(want)}
+    assert tokens.Encoder(PATH, 2).apart
+
+
+def test_many_null_ids_in_several_partitions(documents):
+    rows = [(None if i % 3 else i, f"text {i % 7}", None, None, None) for i in range(200)]
+    blocks = tokens.write(documents(rows), PATH, partitions=5)
+    got = tokens.documents(blocks).orderBy("start").collect()
+    assert len(got) == 200 and [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+    assert [r["doc_id"] for r in got] == [None] * 133 + sorted(r[0] for r in rows if r[0] is not None)
