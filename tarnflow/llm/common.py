@@ -104,10 +104,12 @@ def first_by_hash(df: DataFrame, h: str, n: int, total: int, *then: str) -> Data
     return df.orderBy(h, *then).limit(n)
 
 
-def first_of_each(df: DataFrame, h: str, label: str, n: int, *then: str) -> DataFrame:
+def first_of_each(df: DataFrame, h: str, label: str, n: int, *then: str, labels: int = 1024) -> DataFrame:
     """About n rows in all, in equal parts of each label, in the order of a 64-bit hash column; never more than n, but
-    one row of each label. Labels are few: their numbers of rows are counted on the driver."""
-    counts = dict(df.groupBy(label).count().collect())
+    one row of each label. At most `labels` numbers of rows are counted on the driver; more labels are an error."""
+    counts = dict(df.groupBy(label).count().limit(labels + 1).collect())
+    if len(counts) > labels:
+        raise ValueError(f"more than {labels} different values of {label}")
     each = max(1, n // max(1, len(counts)))
     limits = {k: int(min(2**63 - 1, -(2**63) + 1.25 * each / c * 2**64)) for k, c in counts.items()}
     if not limits:

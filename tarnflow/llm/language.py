@@ -3,8 +3,8 @@
 The network reads windows of `WINDOW` bytes in both directions, gives each position a distribution over the languages,
 and a document's probabilities are the mean over all positions of its whole text. It is trained in numpy by
 backpropagation through time, on the driver, on a bounded sample of labelled rows (`sample` documents, as many of each
-language, with `pieces` pieces of each text or the whole of it); scoring runs on the executors in blocks of `BLOCK`
-windows, whatever the texts' lengths.
+language, read whole, of all whose pieces at most `pieces`); scoring runs on the executors in blocks of `BLOCK` windows, whatever
+the texts' lengths.
 
 Defined cases: a null text, or one without a letter, gives `und` with score 0; where no row has a label to learn from,
 all rows give `und`; equal probabilities go to the language that is first in order; repeated rows are scored alike; rows
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import bucket_of, first_by_hash, first_of_each
+from tarnflow.llm.common import bucket_of, first_by_hash, first_of_each, release, store
 
 WINDOW, BLOCK, UNKNOWN = 128, 1024, "und"
 Params = dict[str, np.ndarray]
@@ -149,23 +149,28 @@ def fit(x: np.ndarray, filled: np.ndarray, y: np.ndarray, labels: int, hidden: i
     return p
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, sample: int = 4000, pieces: int | None = 4, **settings) -> tuple[list[str], Params]:
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", learn: Column | None = None, sample: int = 4000, pieces: int = 1 << 18, **settings) -> tuple[list[str], Params]:
     """Languages and network, from at most `sample` labelled rows in the order of a hash, equally many of each language.
 
-    Learned from are `pieces` pieces of `WINDOW` characters at hashed places of each text, or whole texts where it is None.
+    Whole texts are cut into pieces of `WINDOW` characters, labelled like their text; of more than about `pieces` of them, which
+    bounds what the driver holds, those with the smallest hashes are learned from, wherever they stand.
     """
-    n, t = F.length(text), F.col(text)
-    at = lambda k: 1 + F.pmod(F.xxhash64(F.col(doc_id), F.lit(k)), F.greatest(n - (WINDOW - 1), F.lit(1)))
-    cut = F.array(t) if pieces is None else F.array(*[F.substring(t, at(k).cast("int"), F.lit(WINDOW)) for k in range(pieces)])
+    n, t = F.length(text), F.col(text).cast("string")
     rows = df.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (n > 0) & (F.lit(True) if learn is None else learn))
-    rows = rows.select(F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), cut.alias("w"))
-    got = first_of_each(rows, "h", "label", sample, "id", "w").orderBy("h", "id", "label", "w").toPandas()
+    rows = rows.select(F.xxhash64(F.lit("language"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), t.alias("w"))
+    rows = store(first_of_each(rows, "h", "label", sample, "id", "w"))
+    total = rows.agg(F.sum(F.ceil(F.length("w") / WINDOW))).first()[0] or 0
+    cut = F.regexp_extract_all("w", F.lit(f"(?s).{{1,{WINDOW}}}"), 0)
+    parts = rows.select("h", "id", "label", F.posexplode(cut).alias("at", "w")).withColumn("place", F.xxhash64("h", "at"))
+    if total > pieces:
+        parts = parts.where(F.col("place") < int(-(2**63) + pieces / total * 2**64))
+    got = parts.orderBy("place", "id", "label", "at", "w").select("label", "w").toPandas()
+    release(rows)
     names = sorted(got["label"].unique())
     if not names:
         return [], {}
-    x, filled, of = windows([w.encode("utf-8", "replace") for ws in got["w"] for w in ws])
-    y = np.repeat(np.searchsorted(names, got["label"].to_numpy(str)), got["w"].map(len))[of]
-    return names, fit(x, filled, y, len(names), **settings)
+    x, filled, of = windows([w.encode("utf-8", "replace") for w in got["w"]])
+    return names, fit(x, filled, np.searchsorted(names, got["label"].to_numpy(str))[of], len(names), **settings)
 
 
 def probabilities(p: Params, texts: list[bytes]) -> np.ndarray:

@@ -66,7 +66,7 @@ def test_training_takes_all_languages_and_whole_texts(spark):
     rows = [(i, " ".join("".join(rng.choices("abcde", k=4)) for _ in range(30)), "many") for i in range(600)]
     rows += [(1000 + i, "".join(rng.choices("漢字語文本日", k=90)), "few") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    for pieces in (4, None):
+    for pieces in (120, 1 << 18):
         names, p = language.train(df, sample=60, pieces=pieces, steps=60)
         assert names == ["few", "many"]
         got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, (names, p)).collect()}
