@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.functions.text import count_hits, let, query_terms, spaced, spaced_count, spaced_len
+from tarnflow.operators.index import saved
 
 K1, B = 1.5, 0.75
 WILDCARD = "通用"
@@ -54,6 +55,20 @@ def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
+def bm25_saved(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """(doc_id, score) from an index saved as tables: the buckets of the query's terms are read, and joined without an exchange."""
+    postings, stats = saved(spark, name)
+    terms = query_terms(query)
+    if not terms:
+        return postings.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    wanted = postings.where(F.col("term").isin(*terms))
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))  # counted in each bucket
+    weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
+    rows = wanted.join(df.hint("merge"), "term").crossJoin(F.broadcast(stats))  # one row
+    part = weight[F.col("term")] * _part(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_len"), F.col("mean"))
+    return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
 def top(scored: DataFrame, k: int, doc_id: str = "doc_id", score: str = "score") -> DataFrame:
     """The k best with rank from 0; equal scores go by id.
 

@@ -62,6 +62,8 @@ DOCS = """docs AS (
         CASE doc_id % 3 WHEN 0 THEN '高' WHEN 1 THEN '中' ELSE '低' END AS priority FROM documents)"""
 #: The delimiters, as DuckDB's regular expressions have them.
 CLASS = r"""[\s,.\-_()\[\]，。：:；"、！？!?]+"""
+#: A word of a query as its tokens, one a row.
+_GRAMS_OF = "unnest(list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1))))"
 TOKENS = f"""parts AS (
     SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(content), '{CLASS}')) AS p FROM docs) WHERE p <> ''),
 tokens AS (
@@ -134,6 +136,15 @@ def bm25_indexed(spark, sf_dir):
     return retrieve.bm25_indexed(index.postings(docs), index.doc_stats(docs), QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scores WHERE score > 0")
+def bm25_saved(spark, sf_dir):
+    """From an index that was saved as bucketed tables."""
+    base = shared_folder(spark)
+    name = "index_" + uuid.uuid4().hex
+    index.save(documents(spark, sf_dir), name, base)
+    return retrieve.bm25_saved(spark, name, QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _PASS = "(chemical_type IS NULL OR chemical_type = '通用' OR lower(chemical_type) = 'src3') AND (regulation_type IS NULL OR lower(regulation_type) = 'en')"
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnflow.operators import blockmax, vectorindex
+from tarnflow.operators import blockmax, dictionary, vectorindex
 from tarnflow.operators.segments import SegmentedIndex
-from tarnflow.plans.catalog import BM25, CLASS, DOCS, QUERY, TOKENS, documents, query, shared_folder, table
+from tarnflow.plans.catalog import _GRAMS_OF, BM25, CLASS, DOCS, QUERY, TOKENS, documents, query, shared_folder, table
 
-_GRAMS = "unnest(list_concat([p], list_transform(range(1, length(p)), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) + 1), lambda i: substr(p, i, 1))))"
 
 
 @query(f"""WITH {DOCS}, {TOKENS},
@@ -17,7 +16,7 @@ _GRAMS = "unnest(list_concat([p], list_transform(range(1, length(p)), lambda i:
     stats AS (SELECT count(*) AS n, avg(coalesce(len.n, 0)) AS mean FROM docs LEFT JOIN len USING (doc_id)),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     q AS (SELECT item_id, term, count(*) AS times FROM (
-        SELECT item_id, {_GRAMS} AS term FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{CLASS}')) AS p FROM benchmark) WHERE p <> '') GROUP BY item_id, term),
+        SELECT item_id, {_GRAMS_OF} AS term FROM (SELECT item_id, unnest(regexp_split_to_array(lower(text), '{CLASS}')) AS p FROM benchmark) WHERE p <> '') GROUP BY item_id, term),
     w AS (SELECT item_id, term, times * ln((s.n - df + 0.5) / (df + 0.5) + 1) AS weight FROM q JOIN df USING (term) CROSS JOIN stats s),
     i AS (SELECT doc_id, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len.n / s.mean)) AS impact FROM tf JOIN len USING (doc_id) CROSS JOIN stats s),
     scores AS (SELECT item_id, doc_id, round(sum(weight * impact), 6) AS score FROM w JOIN i USING (term) GROUP BY item_id, doc_id),
@@ -60,3 +59,14 @@ def segmented_search(spark, sf_dir):
     held.insert(table(spark, sf_dir, "pages").select((F.col("page_id") + 10_000_000).alias("doc_id"), F.col("html").alias("content")))
     held.merge()
     return held.scores(QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
+    h AS (SELECT doc_id, term FROM documents JOIN t ON contains(lower(text), term)),
+    g AS (SELECT doc_id, count(*) AS hits, md5(string_agg(term, ' ' ORDER BY encode(term))) AS terms_md5 FROM h GROUP BY doc_id)
+    SELECT doc_id, coalesce(hits, 0)::INTEGER AS hits, coalesce(terms_md5, md5('')) AS terms_md5 FROM documents LEFT JOIN g USING (doc_id)""")
+def dictionary_hits(spark, sf_dir):
+    """Which of the words of all benchmark texts each document contains."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("term"))
+    hits = dictionary.found(documents(spark, sf_dir), terms)
+    return hits.select("doc_id", "hits", F.md5(F.array_join("terms", " ").cast("binary")).alias("terms_md5"))

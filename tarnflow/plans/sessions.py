@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnflow.operators import dialog
-from tarnflow.plans.catalog import _case, query, shared_folder, streamed, table
+from tarnflow.functions import variants
+from tarnflow.operators import dialog, retrieve
+from tarnflow.operators.searchlog import SearchLog
+from tarnflow.plans.catalog import _GRAMS_OF, DOCS, NOW, TOKENS, _case, documents, query, shared_folder, streamed, table
 from tarnflow.streaming import journal, store
 
 #: What a user and an assistant say in the form that (conv_id + turn) has; SQL for Spark and for DuckDB.
@@ -73,3 +75,43 @@ def audit_journal(spark, sf_dir):
     records = streamed(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("operation"), F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("create_time"), F.col("event_id").alias("seq"))
     journal.append(records, f"{base}/log", f"{base}/state", "create_time", "seq").awaitTermination()
     return journal.Journal(spark, f"{base}/log").read("user_id string, operation string, details string").select("id", "user_id", "operation", "details")
+
+
+_ASKED = ("the station of there", "漢字", "license 10", "")
+
+
+@query(f"""WITH {DOCS}, {TOKENS}, q AS (SELECT unnest([{', '.join(map(repr, _ASKED))}]) AS query),
+    t AS (SELECT query, {_GRAMS_OF} AS term FROM (SELECT query, unnest(string_split(query, ' ')) AS p FROM q) WHERE p <> ''),
+    n AS (SELECT query, count(DISTINCT doc_id) AS n FROM t JOIN tokens USING (term) GROUP BY query)
+    SELECT query, least(coalesce(n, 0), 7)::INTEGER AS results_count, 'bm25' AS source_priority FROM q LEFT JOIN n USING (query)""")
+def search_log(spark, sf_dir):
+    """Four searches of up to seven results, as the log has them."""
+    base = shared_folder(spark)
+    docs, log = documents(spark, sf_dir), SearchLog(spark, f"{base}/log")
+    for i, text in enumerate(_ASKED):
+        log.run(text, lambda x: retrieve.bm25(docs, x, 7), f"{base}/hits{i}", "bm25", F.lit(NOW))
+    return log.read().select("query", "results_count", "source_priority")
+
+
+#: JSON of an event in the form that its number has: all fields, an ill-typed and a missing one, nested, none at all.
+_JSON = ("'{\"k\": ' || event_id || ', \"who\": {\"id\": \"u' || user_id || '\"}, \"tags\": [1, 2]}'", "'{\"k\": \"none\", \"who\": 7}'", "'{\"k\": 1.5, \"who\": {\"id\": null}, \"tags\": [' || user_id || ']}'", "'no json'", "props")
+
+
+@query(f"""WITH j AS (SELECT event_id, event_id % 5 AS form, {_case('event_id', *_JSON)} AS x FROM events)
+    SELECT event_id, CASE form WHEN 0 THEN event_id WHEN 2 THEN 1 WHEN 4 THEN (x::JSON->>'k')::BIGINT END AS k, CASE form WHEN 0 THEN x::JSON->'who'->>'id' END AS who,
+        CASE form WHEN 0 THEN 1 WHEN 2 THEN (x::JSON->'tags'->>0)::BIGINT END AS tag, form <> 3 AS is_json,
+        CASE form WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'DECIMAL(2,1)' WHEN 4 THEN 'BIGINT' END AS kind FROM j""")
+def session_variant(spark, sf_dir):
+    """Session data of any shape, typed when it is read."""
+    rows = table(spark, sf_dir, "events").select("event_id", variants.data(F.expr(_case("event_id", *_JSON))).alias("v"))
+    v = F.col("v")
+    return rows.select("event_id", variants.field(v, "$.k", "long").alias("k"), variants.field(v, "$.who.id", "string").alias("who"), variants.field(v, "$.tags[0]", "long").alias("tag"), v.isNotNull().alias("is_json"), variants.kind(v, "$.k").alias("kind"))
+
+
+@query(f"""WITH j AS (SELECT event_type, event_id % 5 AS form FROM events)
+    SELECT event_type, count(*) FILTER (WHERE form <> 3)::BIGINT AS n FROM j GROUP BY event_type""")
+def session_shapes(spark, sf_dir):
+    """How many rows of each event type have session data of a merged shape that can be told."""
+    rows = table(spark, sf_dir, "events").select("event_type", variants.data(F.expr(_case("event_id", *_JSON))).alias("v"))
+    shapes = rows.groupBy("event_type").agg(variants.shape(F.col("v")).alias("shape"), F.count("v").alias("n"))
+    return shapes.where(F.col("shape").startswith("OBJECT<")).select("event_type", "n")
