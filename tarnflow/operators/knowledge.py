@@ -37,6 +37,10 @@ class KnowledgeBase:
     def add_regulation(self, content: str, regulation_type: str, priority: str, chemical_type: str | None = None) -> KnowledgeBase:
         return self.add(self.spark.createDataFrame([(content, regulation_type, priority, chemical_type or "通用")], "content string, regulation_type string, priority string, chemical_type string"))
 
+    def add_regulations(self, rows: DataFrame, order: str = "content") -> KnowledgeBase:
+        """Insert a table of regulations (content, regulation_type, priority, chemical_type); a missing chemical type is the wildcard."""
+        return self.add(rows.withColumn("chemical_type", F.coalesce("chemical_type", F.lit("通用"))), order)
+
     def load(self, root: str, limit: int | None = 500) -> KnowledgeBase:
         """Files of the category folders, in chunks, or whole where limit is None."""
         rows = corpus.whole_files(self.spark, root) if limit is None else corpus.chunked(corpus.files(self.spark, root), limit=limit)

@@ -116,11 +116,23 @@ def merge(bm25_hits: DataFrame, vector_hits: DataFrame, k: int, weights: tuple[f
     return best.withColumn("rank", (F.row_number().over(W.orderBy(*order)) - 1).cast("int")).withColumn("method", F.lit("Hybrid")).drop("b_rank", "v_rank")
 
 
-def search(docs: DataFrame, query: str, embedding: Sequence[float] | None, k: int = 5, mode: str = "hybrid", weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
-    """Mode bm25, vector, or anything else for hybrid. Without a query vector the vector branch falls back to BM25."""
+def search(docs: DataFrame, query: str, embedding: Sequence[float] | None, k: int = 5, mode: str = "hybrid", weights: tuple[float, float] = (0.5, 0.5), vectors: DataFrame | None = None) -> DataFrame:
+    """Mode bm25, vector, or anything else for hybrid. Without a query vector the vector branch falls back to BM25.
+
+    Vectors are a column `embedding` of docs, or a table (doc_id, embedding) of their own: then they are ranked beside the ids
+    alone, and contents are fetched for what was found.
+    """
     columns = ("doc_id", "content", "score", "rank", "method")
     named = lambda df, name: df.withColumn("method", F.lit(name)).select(*columns)
-    near = lambda n: named(vector(docs, embedding, n), "Vector") if embedding is not None else named(bm25(docs, query, n), "BM25")
+
+    def near(n: int) -> DataFrame:
+        if embedding is None:
+            return named(bm25(docs, query, n), "BM25")
+        if vectors is None:
+            return named(vector(docs, embedding, n), "Vector")
+        best = vector(vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), embedding, n).select("doc_id", "score", "rank")
+        return named(docs.select("doc_id", "content").join(F.broadcast(best), "doc_id"), "Vector")  # n rows
+
     if mode.lower() == "bm25":
         return named(bm25(docs, query, k), "BM25")
     if mode.lower() == "vector":

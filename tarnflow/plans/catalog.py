@@ -45,9 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal out a table that has few row groups, so that its scan isn't one task; larger tables stay as they are."""
+    """Deal out a table of fewer files than cores, which may have a row group each, so that its scan isn't one task; others stay."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(wanted, key) if len(df.inputFiles()) < wanted else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +217,6 @@ VECTOR = tuple(round(0.5 - (i * 37 % 64) / 64, 6) for i in range(64))
 _COSINE = "list_cosine_similarity(embedding::DOUBLE[], [" + ", ".join(map(str, VECTOR)) + "]::DOUBLE[])"
 
 
-def _embedded(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return documents(spark, sf_dir).join(v, "doc_id", "left")
-
-
 @query(f"SELECT vec_id AS doc_id, (row_number() OVER (ORDER BY 1 - s, vec_id) - 1)::INTEGER AS rank, round(s, 5) AS score FROM (SELECT vec_id, {_COSINE} AS s FROM embeddings WHERE embedding IS NOT NULL ORDER BY 1 - s, vec_id LIMIT 10)")
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -241,7 +236,8 @@ def _hybrid_sql(near: str) -> str:
 
 
 def _mode(spark, sf_dir, mode, vector=VECTOR):
-    found = retrieve.search(_embedded(spark, sf_dir), QUERY, vector, 10, mode)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = retrieve.search(documents(spark, sf_dir), QUERY, vector, 10, mode, vectors=vectors)
     return found.select("doc_id", "rank", F.round("score", 5).alias("score"), "method")
 
 
@@ -527,6 +523,34 @@ def registered_tools(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", "GetSpindleTemperature(CAST(event_id AS INT)) AS reading", "GetTemperatureThreshold() AS threshold", "GetCurrentTime(ts) AS at")
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN page_id / 4.0::DOUBLE END AS value, concat('【1】', url, chr(10), '摘要：', html, chr(10), '来源：', chr(10), chr(10)) AS hits FROM pages""")
+def registered_answers(spark, sf_dir):
+    """The two tools that compute, called from SQL."""
+    tools.register(spark)
+    body = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("url").alias("name"), F.col("html").alias("snippet"))).alias("value")).alias("webPages")))
+    rows = table(spark, sf_dir, "pages").select("page_id", body.alias("body"), F.expr("CASE WHEN page_id % 2 = 0 THEN page_id || ' / 4' ELSE 'import ' || page_id END").alias("x"))
+    return rows.selectExpr("page_id", "Calculate(x) AS value", "WebSearch(body) AS hits")
+
+
+class Flaky:
+    """A model that answers a prompt at the third try, or never where its length is divisible by four."""
+
+    def __init__(self) -> None:
+        self.tries: dict[str, int] = {}
+
+    def __call__(self, prompt: str) -> str:
+        self.tries[prompt] = self.tries.get(prompt, 0) + 1
+        if len(prompt) % 4 == 0 or self.tries[prompt] % 3:
+            raise TimeoutError("busy")
+        return tools.stub(prompt)
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) % 4 = 0 THEN '错误: busy' ELSE '[' || length(text) || '] ' || substr(text, 1, 50) END AS answer FROM conversations")
+def generated_retry(spark, sf_dir):
+    """A model that fails is asked three times; what failed to the end has the error's text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tools.generate(F.col("text"), Flaky()).alias("answer"))
+
+
 # --- sessions and audit
 
 
@@ -711,6 +735,40 @@ def result_preview(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.preview(F.col("content")).alias("preview"))
 
 
+_FOLDER = _case("page_id", "'国标'", "'园区规则'", "'历史案例'")
+
+
+@query(f"""SELECT md5(html || chr(10)) AS content_md5, {_FOLDER} AS regulation_type, {_case('page_id', "'高'", "'中'", "'低'")} AS priority, '通用' AS chemical_type FROM pages WHERE html IS NOT NULL""")
+def files_loaded(spark, sf_dir):
+    """Every page as a text file in a folder of its category, loaded as a whole."""
+    base = shared_folder(spark)
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("html", F.expr(_FOLDER).alias("folder"))
+    for folder in corpus.CATEGORIES:
+        pages.where(F.col("folder") == folder).select("html").write.option("maxRecordsPerFile", 1).text(f"{base}/{folder}")
+    loaded = corpus.whole_files(spark, base)
+    return loaded.select(F.md5(F.col("content").cast("binary")).alias("content_md5"), "regulation_type", "priority", "chemical_type")
+
+
+@query("""SELECT row_number() OVER (ORDER BY text, lang, source) - 1 AS doc_id, md5(text) AS content_md5, coalesce(source, '通用') AS chemical_type FROM documents""")
+def typed_insert(spark, sf_dir):
+    """Regulations with a chemical type, or the wildcard."""
+    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("lang").alias("regulation_type"), F.lit("高").alias("priority"), F.col("source").alias("chemical_type"))
+    rows = rows.withColumn("at", F.struct("content", "regulation_type", "chemical_type"))
+    return KnowledgeBase(spark).add_regulations(rows, "at").docs.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "chemical_type")
+
+
+@query("""SELECT 'documents' AS origin, md5(text) AS content_md5, '中' AS priority, coalesce(source, '通用') AS chemical_type FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT 'pages', md5(html), '低', '通用' FROM pages WHERE html IS NOT NULL
+    UNION ALL SELECT 'conversations', md5(text), '中', '通用' FROM conversations WHERE text IS NOT NULL""")
+def sources_united(spark, sf_dir):
+    """Documents, pages and conversations as one knowledge table."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("source").alias("chemical_type"))
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("content"), F.lit("低").alias("priority"))
+    said = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"))
+    rows = corpus.united(documents=docs, pages=pages, conversations=said)
+    return rows.select("origin", F.md5(F.col("content").cast("binary")).alias("content_md5"), "priority", "chemical_type")
+
+
 # --- streams
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.functions import variants
+from tarnflow.functions import prompts, variants
 from tarnflow.operators import dialog, retrieve
 from tarnflow.operators.searchlog import SearchLog
 from tarnflow.plans.catalog import _GRAMS_OF, DOCS, NOW, TOKENS, _case, documents, query, shared_folder, streamed, table
-from tarnflow.streaming import journal, store
+from tarnflow.streaming import journal, logs, store
 
 #: What a user and an assistant say in the form that (conv_id + turn) has; SQL for Spark and for DuckDB.
 _ASKS = ("'我叫李' || turn || '，你叫王' || conv_id || '。' || text", "text || '我是谁？'", "text || '你是谁'", "text || '刚才的温度'", "text || '安全吗'")
@@ -41,6 +42,41 @@ def answers_as_of(spark, sf_dir):
     return dialog.dialogue(told(table(spark, sf_dir, "conversations"))).select("session_id", "turn", "answer")
 
 
+@query(f"""WITH f AS (
+        SELECT conv_id, turn, turn % 2 = 0 AS asks, {_case(_FORM, *_ASKS)} AS x, lag(text) OVER v AS history,
+            CASE WHEN turn % 2 = 0 AND {_FORM} % 5 = 0 THEN '李' || turn WHEN turn % 2 = 0 AND {_FORM} % 5 = 1 THEN '谁？' END AS u, CASE WHEN turn % 2 = 0 AND {_FORM} % 5 = 0 THEN '王' || conv_id END AS a
+        FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+    k AS (SELECT conv_id, turn, asks, x, history, last_value(u IGNORE NULLS) OVER w AS u, last_value(a IGNORE NULLS) OVER w AS a FROM f
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT conv_id::VARCHAR AS session_id, turn, md5('你是友好的AI助手，名字叫' || coalesce(a, '助手') || '。' || chr(10) || chr(10) || '对话历史：' || chr(10) || coalesce(history, '') || chr(10) || chr(10)
+        || '用户说：' || x || chr(10) || chr(10) || '用户的名字可能是' || coalesce(u, '用户') || '。' || chr(10) || chr(10) || '请直接回答用户，不要思考标记。') AS prompt_md5 FROM k WHERE asks""")
+def dialog_prompt(spark, sf_dir):
+    """The prompt of every question, with the names known before it and the turn before it as history."""
+    turns = table(spark, sf_dir, "conversations")
+    said = told(turns)
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    history = turns.select(F.col("conv_id").cast("string").alias("session_id"), "turn", before.alias("history"))
+    asked = dialog.known(said.where("role = 'user'").join(history, ["session_id", "turn"]), dialog.facts(said))
+    return asked.select("session_id", "turn", F.md5(prompts.dialog(F.col("content"), F.col("history"), F.col("user_name"), F.col("assistant_name")).cast("binary")).alias("prompt_md5"))
+
+
+_GAP, _LATE = 1800, 600  # seconds
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= {_GAP}000000, true)::INT AS new FROM events),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS chain FROM e)
+    SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL {_GAP} SECONDS AS "end", count(*)::BIGINT AS n FROM c GROUP BY user_id, chain
+    HAVING epoch_ms(max(ts) + INTERVAL {_GAP} SECONDS) <= (SELECT epoch_ms(max(ts)) FROM events) - {_LATE}000""")
+def session_windows(spark, sf_dir):
+    """Sessions of users that end after half an hour without an event, as a stream gives them out once they are over."""
+    base = shared_folder(spark)
+    events = streamed(spark, sf_dir, "events")
+    over = logs.sessions(events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", f"{_GAP} seconds", f"{_LATE} seconds")
+    logs.append(over, f"{base}/log", f"{base}/state").awaitTermination()
+    at = lambda c: F.col(c).cast(events.schema["ts"].dataType).alias(c)
+    return spark.read.schema(over.schema).parquet(f"{base}/log").select("user_id", at("start"), at("end"), "n")
+
+
 _IDLE = 43_200  # seconds
 
 

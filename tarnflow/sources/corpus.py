@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +122,24 @@ def catalog_info(spark: SparkSession) -> DataFrame:
 
 def tables(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
+
+
+def reachable(spark: SparkSession, database: str = "default") -> bool:
+    """Whether the catalog answers and has the database."""
+    try:
+        return spark.sql("SELECT 1").first()[0] == 1 and spark.catalog.databaseExists(database)
+    except PySparkException:
+        return False
+
+
+def united(**sources: DataFrame) -> DataFrame:
+    """The documents of several sources as one table with the defaults of the database; `origin` names each one's source.
+
+    Sources may have any of a document's columns besides `content`; rows without a content are left out.
+    """
+    columns = ("regulation_type", "priority", "chemical_type", "source_file")
+    rows = [df.where("content IS NOT NULL").select(F.lit(name).alias("origin"), "content", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]) for name, df in sources.items()]
+    first, *rest = rows
+    for df in rest:
+        first = first.unionByName(df)
+    return with_defaults(first)
