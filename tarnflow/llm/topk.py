@@ -5,7 +5,8 @@
 2. Queries go in blocks. A block is first searched in its home shard, where its own vectors are; the kth scores that this
    gives are shared with all other searches.
 3. Of each shard the balls of the first levels are known (a few kB). A query goes on to those shards only where its
-   upper bound (q . centre + |q| * radius) reaches its kth score. A shard gets its tree once for `per_tree` blocks.
+   upper bound (q . centre + |q| * radius) reaches its kth score. A part has `per_tree` blocks of shards near each other, and
+   gets a shard's tree once, if one of its queries goes there.
 4. Within a search the node with the highest upper bound comes first, and a node is left out for every query whose kth
    score exceeds its bound. The lists of a query from all shards are merged at the end.
 
@@ -196,7 +197,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
         for block, shard, blob in zip(blocks["block"], blocks["shard"], blocks["asked"]):
             a = _load(blob)
             s, i = search(_load(trees["tree"].iloc[0]), a["ids"], a["q"], k)
-            out.append({"block": block, "shard": shard, "part": block % parts, "asked": _dump(ids=a["ids"], q=a["q"], kth=s[:, k - 1]), "scores": s.reshape(-1), "found": i.reshape(-1)})
+            out.append({"block": block, "shard": shard, "part": block * parts // n_blocks, "asked": _dump(ids=a["ids"], q=a["q"], kth=s[:, k - 1]), "scores": s.reshape(-1), "found": i.reshape(-1)})
         return pd.DataFrame(out, columns=["block", "shard", "part", "asked", "scores", "found"])
 
     def bundle(b: pd.DataFrame) -> pd.DataFrame:
@@ -241,9 +242,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     balls = store(balls.withColumn("part", every(parts)))
     asking = known.select("shard", "part", "asked").withColumn("chunk", every(chunks)).join(balls.hint("merge"), ["chunk", "part"])
     # By the shard alone a hot shard's queries were one group; by parts each group has `per_tree` blocks and one tree.
-    going = asking.select("shard", "part", "asked", "balls").mapInPandas(reach, "to long, part long, asked binary")
-    sent = trees.select(F.col("shard").alias("to"), "tree").withColumn("part", every(parts))
-    found = going.groupBy("to", "part").cogroup(sent.groupBy("to", "part")).applyInPandas(rest, "query_id long, vec_id long, score long")
+    going = store(asking.select("shard", "part", "asked", "balls").mapInPandas(reach, "to long, part long, asked binary"))
+    # A tree goes to the parts with a query that may find something in it.
+    wanted = going.select(F.col("to").alias("shard"), F.col("part").alias("for_part")).distinct()
+    sent = trees.select("shard", "tree").join(wanted.hint("merge"), "shard")
+    found = going.groupBy("to", "part").cogroup(sent.groupBy("shard", "for_part")).applyInPandas(rest, "query_id long, vec_id long, score long")
     found = found.unionByName(known.select("asked", "scores", "found").mapInPandas(at_home, "query_id long, vec_id long, score long"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
