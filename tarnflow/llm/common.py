@@ -64,6 +64,10 @@ def bucket_of(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def _tables_folder(spark: SparkSession) -> str:
+    return f"{_shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it back.
 
@@ -71,7 +75,7 @@ def store(df: DataFrame) -> DataFrame:
     execution can split a hot key.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_tables_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
@@ -86,6 +90,13 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables of `store` of this application. Results that are still to be computed from them are lost: call it
+    once what was asked for has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, column: str, most: int = 24 << 20) -> DataFrame:
     """A stored table for a join: broadcast where its rows and the elements of an array column, as counted now, take
     `most` bytes or less, else sorted and merged."""
