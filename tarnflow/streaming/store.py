@@ -19,13 +19,24 @@ UPSERT, TURN, DATA, CLEAR_HISTORY, CLEAR_DIALOG_HISTORY = "upsert", "turn", "dat
 LIVE, EVICTED = "live", "evicted"
 
 
+class _Session:
+    """A session while its operations are gone through: the state's value, and what is to be written of turns and data."""
+
+    def __init__(self, created: int, updated: int, kind: str | None, turns: int, version: int, data: dict[str, str], stored: bool) -> None:
+        self.created, self.updated, self.kind, self.turns, self.version = created, updated, kind, turns, version
+        self.data, self.changed = data, {}
+        self.new_turns: list[tuple] = []
+        #: Whether the state holds turns and data of this session that stay.
+        self.keeps_turns = self.keeps_data = stored
+
+
 class Sessions(StatefulProcessor):
     """State of a session: a value (when it was created and updated, its type), a list of turns, a map of data, and a timer that
     evicts it.
 
     Operations of a batch go in the order of time and seq. One that comes later than the timeout after the last update finds the
     session evicted, whether the timer had fired or not, so results don't depend on how the stream is cut into batches.
-    Turns, data and clears of a session that isn't there are dropped.
+    Turns, data and clears of a session that isn't there are dropped. State is read before a batch and written after it.
     """
 
     def __init__(self, timeout_ms: int) -> None:
@@ -37,53 +48,69 @@ class Sessions(StatefulProcessor):
         self.turns = handle.getListState("turns", "role string, content string, at long")
         self.data = handle.getMapState("data", "key string", "value string")
 
-    def _change(self, key: tuple, status: str) -> pd.DataFrame:
-        created, updated, kind, turns, version = self.head.get()
-        self.head.update((created, updated, kind, turns, version + 1))
+    def _load(self) -> _Session | None:
+        if not self.head.exists():
+            return None
+        return _Session(*self.head.get(), {k[0]: v[0] for k, v in self.data.iterator()}, True)
+
+    def _save(self, held: _Session | None) -> None:
+        if held is None:
+            for state in (self.head, self.turns, self.data):
+                state.clear()
+            return
+        self.head.update((held.created, held.updated, held.kind, held.turns, held.version))
+        if not held.keeps_turns:
+            self.turns.clear()
+        if held.new_turns:
+            self.turns.appendList(held.new_turns)
+        if not held.keeps_data:
+            self.data.clear()
+        for k, v in held.changed.items():
+            self.data.updateValue((k,), (v,))
+
+    def _change(self, key: tuple, held: _Session, status: str) -> pd.DataFrame:
+        held.version += 1
         at = lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame({"session_id": [key[0]], "created_at": [at(created)], "last_updated": [at(updated)], "session_type": [kind], "n_turns": [turns], "n_data": [sum(1 for _ in self.data.keys())], "status": [status], "version": [version + 1]})
-
-    def _evict(self, key: tuple) -> pd.DataFrame:
-        change = self._change(key, EVICTED)
-        for state in (self.head, self.turns, self.data):
-            state.clear()
-        return change
+        return pd.DataFrame({"session_id": [key[0]], "created_at": [at(held.created)], "last_updated": [at(held.updated)], "session_type": [held.kind], "n_turns": [held.turns], "n_data": [len(held.data)], "status": [status], "version": [held.version]})
 
-    def _expires(self) -> int:
+    def _expires(self, held: _Session) -> int:
         """The first millisecond at which the session has been idle for longer than the timeout."""
-        return self.head.get()[1] // 1000 + self.timeout_ms + 1
+        return held.updated // 1000 + self.timeout_ms + 1
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        held, out = self._load(), []
         for op, ts, role, content, name in zip(batch["op"], batch["ts"], batch["role"], batch["content"], batch["key"]):
             at = ts.value // 1000
-            if self.head.exists() and at // 1000 >= self._expires():
-                yield self._evict(key)
+            if held and at // 1000 >= self._expires(held):
+                out.append(self._change(key, held, EVICTED))
+                held = None
             if op == UPSERT:
-                created, _, _, turns, version = self.head.get() if self.head.exists() else (at, at, None, 0, 0)
-                self.head.update((created, at, content, turns, version))
-                continue
-            if not self.head.exists():
-                continue
-            created, updated, kind, turns, version = self.head.get()
-            if op == TURN:
-                self.turns.appendValue((role, content, at))
-                self.head.update((created, at, kind, turns + 1, version))
-            elif op == DATA:
-                self.data.updateValue((name,), (content,))
-                self.head.update((created, at, kind, turns, version))
-            elif op in (CLEAR_HISTORY, CLEAR_DIALOG_HISTORY):
-                self.turns.clear()
-                self.head.update((created, at if op == CLEAR_HISTORY else updated, kind, 0, version))
-        if self.head.exists():
-            self.handle.registerTimer(self._expires())
-            yield self._change(key, LIVE)
+                held = held or _Session(at, at, None, 0, 0, {}, False)
+                held.updated, held.kind = at, content
+            elif held and op == TURN:
+                held.new_turns.append((role, content, at))
+                held.updated, held.turns = at, held.turns + 1
+            elif held and op == DATA:
+                held.data[name] = held.changed[name] = content
+                held.updated = at
+            elif held and op in (CLEAR_HISTORY, CLEAR_DIALOG_HISTORY):
+                held.new_turns, held.keeps_turns, held.turns = [], False, 0
+                held.updated = at if op == CLEAR_HISTORY else held.updated
+        if held:
+            self.handle.registerTimer(self._expires(held))
+            out.append(self._change(key, held, LIVE))
+        self._save(held)
+        if out:
+            yield pd.concat(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self._expires():
-            yield self._evict(key)
+        held = self._load()
+        if held and expiredTimerInfo.getExpiryTimeInMs() >= self._expires(held):
+            self._save(None)
+            yield self._change(key, held, EVICTED)
 
     def close(self) -> None:
         pass
