@@ -215,3 +215,16 @@ def test_test_tables(spark, sf):
     lang = language.identify(docs, language.train(docs, learn=language.learnable())).join(docs.select("doc_id", "lang"), "doc_id")
     held = lang.where(~language.learnable() & F.col("lang").isNotNull()).collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.9
+
+
+def test_scoring_equals_the_states_that_are_trained():
+    """The way that scores is the one that is trained, in another arithmetic; large weights saturate without harm."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (language.WINDOW, 40)).astype(np.uint8)
+    for scale in (1.0, 2.0):
+        p = {k: v * np.float32(scale) for k, v in language.init(16, 4, rng).items()}
+        whole, f, b = language._positions(p, x)
+        np.testing.assert_allclose(language._scored(p, x), np.moveaxis(whole, 2, 0), atol=2e-4)
+        np.testing.assert_allclose(language._states(p, "b", x.astype(np.intp)), b.reshape(-1, 16), atol=2e-4)
+    huge = {k: v * np.float32(1e4) for k, v in p.items()}
+    assert np.isfinite(language._scored(huge, x)).all()
