@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.functions.text import doc_len, grams, parts
+from tarnflow.functions import tokens
+from tarnflow.functions.text import doc_len
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, term, tf). Words are counted first, and each distinct word is taken apart once."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(parts(F.col(content))).alias("part")).groupBy("doc_id", "part").count()
-    terms = words.select("part").distinct().select("part", F.explode(grams(F.col("part"))).alias("term")).groupBy("part", "term").agg(F.count("*").alias("times"))
-    return words.join(terms, "part").groupBy("doc_id", "term").agg(F.sum(F.col("count") * F.col("times")).alias("tf"))
+    """(doc_id, term, tf). The texts of an id are brought together and counted where they are, so no token is shuffled."""
+    texts = docs.select(F.col(doc_id).alias("key"), tokens.low(F.col(content)).alias("text")).groupBy("key").agg(F.collect_list("text").alias("texts"))
+    return tokens.posted(texts).withColumnRenamed("key", "doc_id")
 
 
 def doc_freq(index: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def doc_freq(index: DataFrame) -> DataFrame:
 
 
 def doc_stats(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), doc_len(F.col(content)).alias("doc_len"))
+    return docs.select(F.col(doc_id).alias("doc_id"), tokens.length(F.col(content)).alias("doc_len"))
 
 
 def corpus_stats(docs: DataFrame, content: str = "content") -> DataFrame:
