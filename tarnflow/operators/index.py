@@ -9,10 +9,16 @@ from tarnflow.functions import tokens
 from tarnflow.functions.text import doc_len
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, term, tf). The texts of an id are brought together and counted where they are, so no token is shuffled."""
+def counted(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
+    """(doc_id, doc_len, postings), postings being (term, tf). The texts of an id are brought together and counted where they
+    are, so no token is shuffled."""
     texts = docs.select(F.col(doc_id).alias("key"), tokens.low(F.col(content)).alias("text")).groupBy("key").agg(F.collect_list("text").alias("texts"))
-    return tokens.posted(texts).withColumnRenamed("key", "doc_id")
+    return tokens.counted(texts).withColumnRenamed("key", "doc_id")
+
+
+def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
+    """(doc_id, term, tf)."""
+    return counted(docs, doc_id, content).select("doc_id", F.inline("postings"))
 
 
 def doc_freq(index: DataFrame) -> DataFrame:
@@ -44,7 +50,7 @@ def save(docs: DataFrame, name: str, path: str, buckets: int = 64) -> None:
     what is counted or joined by term needs no exchange. A character that all documents have fills a bucket: it is written as
     several files of the bucket, as rows are dealt by document too.
     """
-    rows = postings(docs).join(doc_stats(docs).groupBy("doc_id").agg(F.sum("doc_len").alias("doc_len")), "doc_id")
+    rows = counted(docs).where("doc_id IS NOT NULL").select("doc_id", "doc_len", F.inline("postings"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(8))
     dealt = rows.select("term", "doc_id", "tf", "doc_len").repartition(buckets, F.pmod(F.hash("term"), F.lit(buckets)), spread)
     dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term", "doc_id").option("path", f"{path}/postings").saveAsTable(f"{name}_postings")
