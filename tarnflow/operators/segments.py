@@ -1,6 +1,6 @@
 """An inverted index that grows by batches: immutable segments, tombstones, merges by size.
 
-An insert writes one segment from its own rows alone: postings sorted by term, a forward table (the terms of each document)
+An insert writes one segment from its own rows alone: postings sorted by term, a forward table (the terms of each document and their counts)
 sorted by id, and its part of the statistics (documents, total length, document frequency of each term). A delete writes a
 segment too: the ids that leave, and negative statistics, which it takes from the forward rows of those documents. Statistics of
 the whole are sums over segments, so scores are those of an index built anew. Rows keep the number of the insert they came
@@ -30,7 +30,7 @@ from tarnflow.operators.retrieve import _part
 
 MANIFEST = "name string, kind string, first long, n long, total long, width long"
 POSTINGS = "term string, doc_id long, tf long, doc_len long, at long"
-FORWARD = "doc_id long, doc_len long, terms array<string>, at long"
+FORWARD = "doc_id long, doc_len long, terms array<string>, tf array<long>, at long"
 COUNTS = "term string, df long"
 GONE = "doc_id long, before long"
 
@@ -98,14 +98,15 @@ class SegmentedIndex:
         version, parts = self.state()
         docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
         name, at = f"segment-{uuid.uuid4().hex}", version + 1
-        lengths = index.doc_stats(docs).groupBy("doc_id").agg(F.sum("doc_len").alias("doc_len"))
-        terms = index.postings(docs).withColumnRenamed("doc_id", "id")
         to = f"{self.path}/{name}"
-        terms.join(lengths, F.col("id") == F.col("doc_id")).select("term", "doc_id", "tf", "doc_len", F.lit(at).cast("long").alias("at")).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{to}/postings")
+        came = F.lit(at).cast("long").alias("at")
+        # Dealt by id before they are counted, so that texts are counted once, and postings are read off what is written.
+        found = index.counted(docs.repartitionByRange("doc_id")).select("doc_id", "doc_len", F.col("postings.term").alias("terms"), F.col("postings.tf").alias("tf"), came)
+        found.sortWithinPartitions("doc_id").write.parquet(f"{to}/forward")
+        forward = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
+        rows = forward.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf")), "doc_id", "doc_len", "at").select("term", "doc_id", "tf", "doc_len", "at")
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{to}/postings")
         written = self.spark.read.schema(POSTINGS).parquet(f"{to}/postings")
-        listed = written.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
-        forward = lengths.join(listed, "doc_id", "left").select("doc_id", "doc_len", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.lit(at).cast("long").alias("at"))
-        forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{to}/forward")
         written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{to}/counts")
         n, total, width = self.spark.read.schema(FORWARD).parquet(f"{to}/forward").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
         if n:
