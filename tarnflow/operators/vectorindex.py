@@ -131,6 +131,19 @@ def walked(graph: dict[str, np.ndarray], q: np.ndarray, width: int) -> np.ndarra
     return found
 
 
+def swept(graph: dict[str, np.ndarray], q: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of all nodes that score as high as the kth of those found by a query's row, or higher."""
+    unit, rows, nodes = _unit(graph["v"]), [], []
+    for a in range(0, len(q), 256):  # bounded memory
+        s, near = q[a : a + 256] @ unit.T, found[a : a + 256]
+        known = np.where(near >= 0, np.take_along_axis(s, np.maximum(near, 0), 1), -np.inf)
+        least = np.sort(known, axis=1)[:, -k] - 1e-12 * np.sqrt((q[a : a + 256] ** 2).sum(axis=1))
+        row, node = np.nonzero(s >= least[:, None])
+        rows.append(a + row)
+        nodes.append(node)
+    return np.concatenate(rows), np.concatenate(nodes)
+
+
 def _sound(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector)
     bad = lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf"))
@@ -175,8 +188,12 @@ def write(df: DataFrame, path: str, doc_id: str = "doc_id", embedding: str = "em
     placed.groupBy("pivot", "part").applyInArrow(plant, "pivot int, part int, graph binary").write.mode("overwrite").parquet(f"{path}/cells")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, query_id: str = "query_id", embedding: str = "embedding", probe: int | None = None, width: int = 128, per_task: int = 2048) -> DataFrame:
-    """(query_id, doc_id, score, rank from 1): the k most similar documents found for each query, among them one of the same id."""
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, query_id: str = "query_id", embedding: str = "embedding", probe: int | None = None, width: int = 128, per_task: int = 2048, exact: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank from 1): the k most similar documents found for each query, among them one of the same id.
+
+    With `exact`, what a graph finds is a bound: every vector of its cell that reaches it is looked for as well, so that with all
+    cells asked nothing is missed. That is all queries against all vectors, in groups of a cell and `per_task` queries.
+    """
     marks = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()  # at most `pivots`
     if not marks:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
@@ -207,6 +224,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, quer
             found = walked(g, v.astype(np.float32), max(width, k))
             row, place = np.nonzero(found >= 0)
             node = found[row, place]
+            if exact:
+                row, node = swept(g, v, found, k)
             s = np.einsum("ad,ad->a", v[row], g["v"][node]) / (length[row] * np.sqrt((g["v"][node] ** 2).sum(axis=1)))
             counts = g["starts"][node + 1] - g["starts"][node]
             at = np.repeat(g["starts"][node] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
