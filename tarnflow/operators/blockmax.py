@@ -6,7 +6,7 @@ terms bounds the scores of a block. The most promising blocks of each query are
 the others only those whose bound reaches it. What is found is exact, and no pass over the documents is made.
 
 Layout at `path`: `terms` (term, df), `stats` (n, mean), `bounds` (term, block, top, width), `postings` (term, block, docs), the last
-two sorted by term, so that a query's terms prune row groups.
+two sorted by term in each file, so that a query's terms prune row groups; a file of them has all terms of its blocks.
 
 Defined cases: documents without a token are counted, and never found; null texts have no token; repeated ids are
 documents of one id, which is found once with the sum of their scores; a query without a known term finds nothing; equal
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.functions.text import doc_len, grams, parts
-from tarnflow.operators import index
+from tarnflow.functions import tokens
+from tarnflow.functions.text import grams, parts
 from tarnflow.operators.numbering import numbered
 from tarnflow.operators.retrieve import B, K1
 
@@ -36,18 +36,16 @@ def write(docs: DataFrame, path: str, by: tuple[str, ...] = (), per_block: int =
     """
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lengths = docs.select("doc_id", doc_len(F.col("content")).alias("doc_len"), *[F.col(c).alias(f"by_{c}") for c in by])
+    lengths = docs.select("doc_id", tokens.length(F.col("content")).alias("doc_len"), *[F.col(c).alias(f"by_{c}") for c in by])
     lengths = lengths.groupBy("doc_id").agg(F.sum("doc_len").alias("doc_len"), *[F.min(f"by_{c}").alias(f"by_{c}") for c in by])
     numbered(lengths, *[f"by_{c}" for c in by], "doc_len", "doc_id").select("doc_id", "doc_len", F.floor(F.col("n") / per_block).alias("block")).write.mode("overwrite").parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    stats = spark.read.parquet(f"{path}/stats")
-    norm = K1 * (1 - B + B * F.col("doc_len") / F.col("mean"))
-    rows = index.postings(docs).join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    blocks = rows.groupBy("term", "block").agg(F.collect_list(F.struct("doc_id", impact.alias("impact"))).alias("docs"))
-    # By block too, as a character that all documents have would be one partition.
-    blocks.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    mean = spark.read.parquet(f"{path}/stats").first()["mean"] or 1.0
+    # A block's texts are brought together and counted where they are, so no token is shuffled. A file has all terms of its blocks.
+    texts = docs.select("doc_id", tokens.low(F.col("content")).alias("text")).join(lengths, "doc_id").repartitionByRange(files, "block")
+    texts = texts.groupBy("block").agg(F.collect_list(F.struct("doc_id", "doc_len", "text")).alias("texts"))
+    tokens.impacts(texts, K1, B, mean).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     blocks = spark.read.parquet(f"{path}/postings")
     bounds = blocks.select("term", "block", F.array_max(F.transform("docs", lambda d: d["impact"])).alias("top"), F.size("docs").alias("width"))
     bounds.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/bounds")
@@ -70,8 +68,11 @@ def bounded(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, path: str, asked: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of the documents in the blocks (query_id, block) of each query."""
-    wanted = asked.join(blocks.select("query_id", "block"), "query_id")
-    rows = wanted.join(spark.read.parquet(f"{path}/postings"), ["term", "block"]).select("query_id", "weight", F.explode("docs").alias("d"))
+    # A row for each block with its queries, so that postings and not pairs with queries meet them; then a query's documents of a
+    # block are in one task, which adds them up before anything is shuffled.
+    visited = blocks.groupBy("block").agg(F.collect_set("query_id").alias("_visited"))
+    rows = spark.read.parquet(f"{path}/postings").join(visited, "block").join(asked, "term").where(F.array_contains("_visited", F.col("query_id")))
+    rows = rows.select("query_id", "weight", F.explode("docs").alias("d"))
     return rows.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(F.col("weight") * F.col("d.impact")).alias("score"))
 
 
