@@ -22,9 +22,9 @@ LIVE, EVICTED = "live", "evicted"
 class _Session:
     """A session while its operations are gone through: the state's value, and what is to be written of turns and data."""
 
-    def __init__(self, created: int, updated: int, kind: str | None, turns: int, version: int, data: dict[str, str], stored: bool) -> None:
-        self.created, self.updated, self.kind, self.turns, self.version = created, updated, kind, turns, version
-        self.data, self.changed = data, {}
+    def __init__(self, created: int, updated: int, kind: str | None, turns: int, version: int, n_data: int = 0, stored: bool = False) -> None:
+        self.created, self.updated, self.kind, self.turns, self.version, self.n_data = created, updated, kind, turns, version, n_data
+        self.changed: dict[str, str] = {}
         self.new_turns: list[tuple] = []
         #: Whether the state holds turns and data of this session that stay.
         self.keeps_turns = self.keeps_data = stored
@@ -36,7 +36,8 @@ class Sessions(StatefulProcessor):
 
     Operations of a batch go in the order of time and seq. One that comes later than the timeout after the last update finds the
     session evicted, whether the timer had fired or not, so results don't depend on how the stream is cut into batches.
-    Turns, data and clears of a session that isn't there are dropped. State is read before a batch and written after it.
+    Turns, data and clears of a session that isn't there are dropped. State is read before a batch and written after it; of the data
+    only keys are looked up that a batch has, as their number stands in the value. A call to the state takes a round trip.
     """
 
     def __init__(self, timeout_ms: int) -> None:
@@ -44,34 +45,45 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "created long, updated long, kind string, turns long, version long")
+        self.head = handle.getValueState("head", "created long, updated long, kind string, turns long, version long, n_data long")
         self.turns = handle.getListState("turns", "role string, content string, at long")
         self.data = handle.getMapState("data", "key string", "value string")
 
     def _load(self) -> _Session | None:
-        if not self.head.exists():
-            return None
-        return _Session(*self.head.get(), {k[0]: v[0] for k, v in self.data.iterator()}, True)
+        held = self.head.get()
+        return _Session(*held, stored=True) if held is not None else None
 
-    def _save(self, held: _Session | None) -> None:
+    def _put(self, held: _Session, key: str, value: str) -> None:
+        """Note data to be written; whether the session has the key already is looked up once a batch."""
+        if key not in held.changed and not (held.keeps_data and held.n_data and self.data.containsKey((key,))):
+            held.n_data += 1
+        held.changed[key] = value
+
+    def _save(self, before: bool, held: _Session | None) -> None:
+        """Write what changed; before: whether the state holds a session."""
         if held is None:
-            for state in (self.head, self.turns, self.data):
+            for state in (self.head, self.turns, self.data) if before else ():
                 state.clear()
             return
-        self.head.update((held.created, held.updated, held.kind, held.turns, held.version))
-        if not held.keeps_turns:
+        self.head.update((held.created, held.updated, held.kind, held.turns, held.version, held.n_data))
+        if before and not held.keeps_turns:
             self.turns.clear()
         if held.new_turns:
             self.turns.appendList(held.new_turns)
-        if not held.keeps_data:
+        if before and not held.keeps_data:
             self.data.clear()
         for k, v in held.changed.items():
             self.data.updateValue((k,), (v,))
 
-    def _change(self, key: tuple, held: _Session, status: str) -> pd.DataFrame:
+    def _change(self, key: tuple, held: _Session, status: str) -> tuple:
         held.version += 1
-        at = lambda us: pd.Timestamp(us, unit="us")
-        return pd.DataFrame({"session_id": [key[0]], "created_at": [at(held.created)], "last_updated": [at(held.updated)], "session_type": [held.kind], "n_turns": [held.turns], "n_data": [len(held.data)], "status": [status], "version": [held.version]})
+        return key[0], held.created, held.updated, held.kind, held.turns, held.n_data, status, held.version
+
+    def _frame(self, changes: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(changes, columns=[c.split()[0] for c in CHANGE.split(", ")])
+        for c in ("created_at", "last_updated"):
+            out[c] = pd.to_datetime(out[c], unit="us")
+        return out
 
     def _expires(self, held: _Session) -> int:
         """The first millisecond at which the session has been idle for longer than the timeout."""
@@ -82,19 +94,20 @@ class Sessions(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         held, out = self._load(), []
+        before = held is not None
         for op, ts, role, content, name in zip(batch["op"], batch["ts"], batch["role"], batch["content"], batch["key"]):
             at = ts.value // 1000
             if held and at // 1000 >= self._expires(held):
                 out.append(self._change(key, held, EVICTED))
                 held = None
             if op == UPSERT:
-                held = held or _Session(at, at, None, 0, 0, {}, False)
+                held = held or _Session(at, at, None, 0, 0)
                 held.updated, held.kind = at, content
             elif held and op == TURN:
                 held.new_turns.append((role, content, at))
                 held.updated, held.turns = at, held.turns + 1
             elif held and op == DATA:
-                held.data[name] = held.changed[name] = content
+                self._put(held, name, content)
                 held.updated = at
             elif held and op in (CLEAR_HISTORY, CLEAR_DIALOG_HISTORY):
                 held.new_turns, held.keeps_turns, held.turns = [], False, 0
@@ -102,15 +115,15 @@ class Sessions(StatefulProcessor):
         if held:
             self.handle.registerTimer(self._expires(held))
             out.append(self._change(key, held, LIVE))
-        self._save(held)
+        self._save(before, held)
         if out:
-            yield pd.concat(out)
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self._load()
         if held and expiredTimerInfo.getExpiryTimeInMs() >= self._expires(held):
-            self._save(None)
-            yield self._change(key, held, EVICTED)
+            self._save(True, None)
+            yield self._frame([self._change(key, held, EVICTED)])
 
     def close(self) -> None:
         pass
