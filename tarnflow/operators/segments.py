@@ -1,13 +1,16 @@
 """An inverted index that grows by batches: immutable segments, tombstones, merges by size.
 
-An insert writes one segment from its own rows alone: postings sorted by term, a forward table (the terms of each document and their counts)
-sorted by id, and its part of the statistics (documents, total length, document frequency of each term). A delete writes a
-segment too: the ids that leave, and negative statistics, which it takes from the forward rows of those documents. Statistics of
-the whole are sums over segments, so scores are those of an index built anew. Rows keep the number of the insert they came
-with; a tombstone holds for rows of inserts before it.
-
-Segments of like size are merged once there are `fan` of them: deleted rows go for good, and a tombstone leaves when no
-segment older than it is left outside. A version of the index is a manifest, written last and never changed: what fails before
+An insert writes one segment from its own rows alone: a forward table (the terms of each document and their counts), postings
+sorted by term, and its part of the statistics (documents, total length, document frequency of each term). Neither texts nor
+postings are shuffled: texts are counted where they are read, but for those of an id that comes more than once, and postings
+are read off the forward table and sorted in blocks of documents, so that a document's postings stand in one file. A delete
+writes a segment too: the ids that leave, and negative statistics, which it takes from the forward rows of those documents.
+Statistics of the whole are sums over segments, so scores are those of an index built anew. Rows keep the number of the insert
+they came with; a tombstone holds for rows of inserts before it.
+
+Segments of like size are merged once there are `fan` of them, and at once with those that the result would be merged with
+next, so that no row is written for a merge between: deleted rows go for good, and a tombstone leaves when no segment older
+than it is left outside. A version of the index is a manifest, written last and never changed: what fails before
 it is not part of the index, readers of an older version go on, and a second writer of one version gets an error.
 
 Defined cases: ids are the caller's, and null ones are left out; an id that is inserted twice, in one batch or in two, names one
@@ -24,15 +27,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.functions import tokens
 from tarnflow.functions.text import query_terms
-from tarnflow.operators import index
 from tarnflow.operators.retrieve import _part
 
 MANIFEST = "name string, kind string, first long, n long, total long, width long"
-POSTINGS = "term string, doc_id long, tf long, doc_len long, at long"
+POSTINGS = "term string, doc_id long, tf long, at long"
 FORWARD = "doc_id long, doc_len long, terms array<string>, tf array<long>, at long"
 COUNTS = "term string, df long"
 GONE = "doc_id long, before long"
+#: How tables are written: ids that rise and terms in order take few bits as differences.
+COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#doc_id": "false"}
+#: Ids that are broadcast; a join with more is sorted and merged.
+IDS = 1 << 20
+
+
+def _ids(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= IDS else df.hint("merge")
 
 
 @dataclass(frozen=True)
@@ -84,33 +95,45 @@ class SegmentedIndex:
         if not gone:
             return rows
         last = self._read(gone, "gone", GONE).groupBy("doc_id").agg(F.max("before").alias("before"))
-        return rows.join(last, "doc_id", "left").where("before IS NULL OR at > before").drop("before")
+        return rows.join(_ids(last, -sum(s.n for s in gone)), "doc_id", "left").where("before IS NULL OR at > before").drop("before")
 
-    def _write(self, name: str, postings: DataFrame, forward: DataFrame, counts: DataFrame) -> None:
+    def _write(self, name: str, forward: DataFrame) -> DataFrame:
+        """Write the forward table and its postings; the postings."""
         to = f"{self.path}/{name}"
-        # By document too, as a character that all documents have would be one partition.
-        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{to}/postings")
-        forward.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{to}/forward")
-        counts.sortWithinPartitions("term").write.parquet(f"{to}/counts")
+        forward.write.options(**COMPACT).parquet(f"{to}/forward")
+        written = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
+        rows = written.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf")), "doc_id", "at").select("term", "doc_id", "tf", "at")
+        tokens.by_term(rows).write.options(**COMPACT).parquet(f"{to}/postings")
+        return self.spark.read.schema(POSTINGS).parquet(f"{to}/postings")
+
+    def _write_counts(self, name: str, counts: DataFrame) -> None:
+        counts.sortWithinPartitions("term").write.options(**COMPACT).parquet(f"{self.path}/{name}/counts")
+
+    @staticmethod
+    def _texts(docs: DataFrame) -> DataFrame:
+        """(key, texts): the lower-case texts of each id. Only texts of ids that come more than once are shuffled."""
+        rows = docs.select(F.col("doc_id").alias("key"), tokens.low(F.col("content")).alias("text"))
+        again = docs.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
+        n = again.count()
+        if n > IDS:
+            return rows.groupBy("key").agg(F.collect_list("text").alias("texts"))
+        alone = (rows.join(F.broadcast(again), "key", "left_anti") if n else rows).select("key", F.array("text").alias("texts"))
+        if not n:
+            return alone
+        return alone.union(rows.join(F.broadcast(again), "key", "left_semi").groupBy("key").agg(F.collect_list("text").alias("texts")))
 
     def insert(self, docs: DataFrame) -> int:
         """Add documents (doc_id, content); the number of documents added."""
         version, parts = self.state()
         docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
         name, at = f"segment-{uuid.uuid4().hex}", version + 1
-        to = f"{self.path}/{name}"
         came = F.lit(at).cast("long").alias("at")
-        # Dealt by id before they are counted, so that texts are counted once, and postings are read off what is written.
-        found = index.counted(docs.repartitionByRange("doc_id")).select("doc_id", "doc_len", F.col("postings.term").alias("terms"), F.col("postings.tf").alias("tf"), came)
-        found.sortWithinPartitions("doc_id").write.parquet(f"{to}/forward")
-        forward = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
-        rows = forward.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf")), "doc_id", "doc_len", "at").select("term", "doc_id", "tf", "doc_len", "at")
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{to}/postings")
-        written = self.spark.read.schema(POSTINGS).parquet(f"{to}/postings")
-        written.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{to}/counts")
-        n, total, width = self.spark.read.schema(FORWARD).parquet(f"{to}/forward").agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        found = tokens.counted(self._texts(docs).sortWithinPartitions("key"), ordered=True)
+        written = self._write(name, found.select(F.col("key").alias("doc_id"), "doc_len", F.col("postings.term").alias("terms"), F.col("postings.tf").alias("tf"), came))
+        self._write_counts(name, written.groupBy("term").agg(F.count("*").alias("df")))
+        n, total = self._read([Segment(name, "rows", at, 0, 0, 0)], "forward", FORWARD).agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         if n:
-            self._commit(at, [*parts, Segment(name, "rows", at, n, total, width)])
+            self._commit(at, [*parts, Segment(name, "rows", at, n, total, written.count())])
         return n
 
     def delete(self, ids: DataFrame) -> int:
@@ -119,13 +142,11 @@ class SegmentedIndex:
         name, before = f"segment-{uuid.uuid4().hex}", version + 1
         to = f"{self.path}/{name}"
         wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-        there = self._alive(self._read(self._rows(parts), "forward", FORWARD).join(wanted, "doc_id", "left_semi"), parts)
-        there.write.parquet(f"{to}/forward")
-        there = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
+        there = self._alive(self._read(self._rows(parts), "forward", FORWARD).join(_ids(wanted, wanted.count()), "doc_id", "left_semi"), parts)
         n, total = there.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         if n:
-            there.select("doc_id", F.lit(before).cast("long").alias("before")).distinct().write.parquet(f"{to}/gone")
-            there.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")).sortWithinPartitions("term").write.parquet(f"{to}/counts")
+            there.select("doc_id", F.lit(before).cast("long").alias("before")).distinct().write.options(**COMPACT).parquet(f"{to}/gone")
+            self._write_counts(name, there.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df")))
             self._commit(before, [*parts, Segment(name, "gone", before, -n, -total, 0)])
         return n
 
@@ -138,27 +159,37 @@ class SegmentedIndex:
         done = 0
         while True:
             version, parts = self.state()
-            rows = sorted(self._rows(parts), key=lambda s: (s.width, s.name))
-            runs = [rows[i : i + self.fan] for i in range(len(rows) - self.fan + 1)]
-            full = next((r for r in runs if r[-1].width <= self.fan * max(1, r[0].width)), None)
+            rows = self._rows(parts)
+            full = self._full(rows)
             if every:
                 full = rows if len(rows) > 1 else None
-            if full is None and every and not done and any(s.kind == "gone" for s in parts) and self._rows(parts):
-                full = self._rows(parts)
+            if full is None and every and not done and any(s.kind == "gone" for s in parts) and rows:
+                full = rows
             if full is None:
                 return done
             self._merge(version + 1, parts, full)
             done += 1
 
+    def _full(self, rows: list[Segment]) -> list[Segment] | None:
+        """Segments to merge into one: `fan` of like size, and those that would be merged with the result (its width taken as the sum)."""
+        groups, merged = [(s.width, s.name, [s]) for s in rows], None
+        while True:
+            groups.sort(key=lambda g: g[:2])
+            runs = [groups[i : i + self.fan] for i in range(len(groups) - self.fan + 1)]
+            full = next((r for r in runs if r[-1][0] <= self.fan * max(1, r[0][0]) and (merged is None or merged in r)), None)
+            if full is None:
+                return merged and merged[2]
+            merged = (sum(g[0] for g in full), "", [s for g in full for s in g[2]])
+            groups = [*[g for g in groups if g not in full], merged]
+
     def _merge(self, version: int, parts: list[Segment], chosen: list[Segment]) -> None:
         others = [s for s in self._rows(parts) if s not in chosen]
         settled = [s for s in parts if s.kind == "gone" and all(x.first > s.first for x in others)]
         summed = [*chosen, *settled]
         name = f"segment-{uuid.uuid4().hex}"
-        counts = self._read(summed, "counts", COUNTS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        self._write(name, self._alive(self._read(chosen, "postings", POSTINGS), parts), self._alive(self._read(chosen, "forward", FORWARD), parts), counts)
-        width = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings").count()
-        merged = Segment(name, "rows", min(s.first for s in chosen), sum(s.n for s in summed), sum(s.total for s in summed), width)
+        written = self._write(name, self._alive(self._read(chosen, "forward", FORWARD), parts))
+        self._write_counts(name, self._read(summed, "counts", COUNTS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"))
+        merged = Segment(name, "rows", min(s.first for s in chosen), sum(s.n for s in summed), sum(s.total for s in summed), written.count())
         self._commit(version, [merged, *[s for s in parts if s not in summed]])
 
     def documents(self) -> DataFrame:
@@ -167,7 +198,7 @@ class SegmentedIndex:
         return self._alive(self._read(self._rows(parts), "forward", FORWARD), parts).select("doc_id", "doc_len")
 
     def scores(self, query: str) -> DataFrame:
-        """(doc_id, score) of the documents above 0: only postings and counts of the query's terms are read."""
+        """(doc_id, score) of the documents above 0: only postings and counts of the query's terms are read, and the documents' lengths."""
         _, parts = self.state()
         terms = query_terms(query)
         n, total = sum(s.n for s in parts), sum(s.total for s in parts)
@@ -176,5 +207,9 @@ class SegmentedIndex:
         wanted = self._alive(self._read(self._rows(parts), "postings", POSTINGS).where(F.col("term").isin(*terms)), parts)
         df = self._read(parts, "counts", COUNTS).where(F.col("term").isin(*terms)).groupBy("term").agg(F.sum("df").alias("df"))  # a row a term
         weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])
-        part = weight[F.col("term")] * _part(F.col("tf"), F.col("df"), F.lit(n), F.col("doc_len"), F.lit(total / n))
-        return wanted.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
+        # A document's postings stand in one file, so that they are brought together before any row is shuffled.
+        rows = wanted.join(F.broadcast(df), "term").groupBy("doc_id", "at").agg(F.collect_list(F.struct(weight[F.col("term")].alias("times"), "df", "tf")).alias("found"))
+        lengths = self._read(self._rows(parts), "forward", FORWARD).select("doc_id", "at", "doc_len")
+        part = lambda x: x["times"] * _part(x["tf"], x["df"], F.lit(n), F.col("doc_len"), F.lit(total / n))
+        scored = rows.join(lengths, ["doc_id", "at"]).select("doc_id", F.aggregate("found", F.lit(0.0), lambda a, x: a + part(x)).alias("score"))
+        return scored.groupBy("doc_id").agg(F.sum("score").alias("score"))

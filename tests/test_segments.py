@@ -102,3 +102,40 @@ def test_defined_cases(spark, tmp_path):
     assert held.merge(every=True) == 0
     assert held.delete(spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")) == 3
     assert scores(held.scores("ab")) == {}
+
+
+def test_a_merge_takes_what_the_next_would(spark, tmp_path):
+    """Before, the first two segments were merged and written, and then again with the third."""
+    held, docs = SegmentedIndex.create(spark, str(tmp_path / "i"), fan=2), {}
+    for k in range(3):
+        new = texts(k, range(k * 50, k * 50 + 30 + 10 * k))
+        held.insert(frame(spark, new))
+        docs |= new
+    assert held.merge() == 1 and len(held.state()[1]) == 1
+    assert len(list((tmp_path / "i").glob("segment-*"))) == 4
+    check(spark, held, docs)
+
+
+def test_a_document_stands_in_one_file(spark, tmp_path):
+    """So postings are sorted where they are; before, they were dealt by term, which shuffled every one of them."""
+    held = SegmentedIndex.create(spark, str(tmp_path / "i"))
+    docs = texts(3, range(60)) | {7: "aa b漢 c a A", 8: ""}
+    assert held.insert(frame(spark, docs).repartition(3, "doc_id")) == 60
+    (made,) = held.state()[1]
+    at = spark.read.parquet(f"{tmp_path}/i/{made.name}/postings").withColumn("file", F.input_file_name())
+    assert at.select("file").distinct().count() > 1
+    assert at.groupBy("doc_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    rows = [(r["file"], r["term"].encode(), r["doc_id"]) for r in at.collect()]
+    for f in {x[0] for x in rows}:
+        assert [x[1:] for x in rows if x[0] == f] == sorted(x[1:] for x in rows if x[0] == f)
+
+
+def test_texts_of_ids_that_come_once_are_not_shuffled(spark, tmp_path):
+    docs = frame(spark, texts(4, range(20))).select("doc_id", "content")
+    plan = SegmentedIndex._texts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    again = docs.union(spark.createDataFrame([(3, "zz abc"), (3, None), (77, "zz")], "doc_id long, content string"))
+    found = {r["key"]: sorted(r["texts"]) for r in SegmentedIndex._texts(again).collect()}
+    want = {r["doc_id"]: [r["content"]] for r in docs.collect()} | {77: ["zz"]}
+    want[3] = sorted([*want[3], "zz abc", ""])
+    assert found == want
