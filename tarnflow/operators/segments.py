@@ -37,7 +37,7 @@ FORWARD = "doc_id long, doc_len long, terms array<string>, tf array<long>, at lo
 COUNTS = "term string, df long"
 GONE = "doc_id long, before long"
 #: How tables are written: ids that rise and terms in order take few bits as differences.
-COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#doc_id": "false"}
+COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#term": "false"}
 #: Ids that are broadcast; a join with more is sorted and merged.
 IDS = 1 << 20
 
@@ -97,13 +97,13 @@ class SegmentedIndex:
         last = self._read(gone, "gone", GONE).groupBy("doc_id").agg(F.max("before").alias("before"))
         return rows.join(_ids(last, -sum(s.n for s in gone)), "doc_id", "left").where("before IS NULL OR at > before").drop("before")
 
-    def _write(self, name: str, forward: DataFrame) -> DataFrame:
-        """Write the forward table and its postings; the postings."""
+    def _write(self, name: str, forward: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """Write the forward table and its postings, read off it where they aren't given; the postings."""
         to = f"{self.path}/{name}"
         forward.write.options(**COMPACT).parquet(f"{to}/forward")
-        written = self.spark.read.schema(FORWARD).parquet(f"{to}/forward")
-        rows = written.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "tf")), "doc_id", "at").select("term", "doc_id", "tf", "at")
-        tokens.by_term(rows).write.options(**COMPACT).parquet(f"{to}/postings")
+        if postings is None:
+            postings = tokens.by_term(self.spark.read.schema(FORWARD).parquet(f"{to}/forward"))
+        postings.write.options(**COMPACT).parquet(f"{to}/postings")
         return self.spark.read.schema(POSTINGS).parquet(f"{to}/postings")
 
     def _write_counts(self, name: str, counts: DataFrame) -> None:
@@ -187,7 +187,10 @@ class SegmentedIndex:
         settled = [s for s in parts if s.kind == "gone" and all(x.first > s.first for x in others)]
         summed = [*chosen, *settled]
         name = f"segment-{uuid.uuid4().hex}"
-        written = self._write(name, self._alive(self._read(chosen, "forward", FORWARD), parts))
+        forward, postings = self._read(chosen, "forward", FORWARD), self._read(chosen, "postings", POSTINGS)
+        # Large blocks are sorted enough as they are; small ones are sorted into larger ones.
+        sorted_enough = sum(s.width for s in chosen) >= tokens.BLOCK // 2 * len(postings.inputFiles())
+        written = self._write(name, self._alive(forward, parts), self._alive(postings, parts) if sorted_enough else None)
         self._write_counts(name, self._read(summed, "counts", COUNTS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"))
         merged = Segment(name, "rows", min(s.first for s in chosen), sum(s.n for s in summed), sum(s.total for s in summed), written.count())
         self._commit(version, [merged, *[s for s in parts if s not in summed]])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tarnflow.functions import tokens
 from tarnflow.operators import retrieve
 from tarnflow.operators.segments import SegmentedIndex
 
@@ -139,3 +140,18 @@ def test_texts_of_ids_that_come_once_are_not_shuffled(spark, tmp_path):
     want = {r["doc_id"]: [r["content"]] for r in docs.collect()} | {77: ["zz"]}
     want[3] = sorted([*want[3], "zz abc", ""])
     assert found == want
+
+
+def test_large_blocks_stay_as_they_are_on_a_merge(spark, tmp_path, monkeypatch):
+    held, docs = SegmentedIndex.create(spark, str(tmp_path / "i"), fan=2), texts(1, range(60)) | {7: "abc " * 2000}
+    held.insert(frame(spark, {i: t for i, t in docs.items() if i < 30}))
+    held.insert(frame(spark, {i: t for i, t in docs.items() if i >= 30}))
+    gone = [0, 7, 31]
+    held.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    docs = {i: t for i, t in docs.items() if i not in gone}
+    monkeypatch.setattr(tokens, "BLOCK", 2)
+    assert held.merge() == 1
+    check(spark, held, docs)
+    (made,) = held.state()[1]
+    forward = spark.read.parquet(f"{tmp_path}/i/{made.name}/forward").select(F.sum(F.size("terms"))).first()[0]
+    assert made.width == forward == spark.read.parquet(f"{tmp_path}/i/{made.name}/postings").count()
