@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import bucket_of, first_by_hash, first_of_each, release, store
+from tarnflow.llm.common import bucket_of, first_of_each, release, store
 
 WINDOW, BLOCK, UNKNOWN = 128, 1024, "und"
 Params = dict[str, np.ndarray]
@@ -258,16 +258,20 @@ def identify(df: DataFrame, model: tuple[list[str], Params], doc_id: str = "doc_
     return rows.mapInPandas(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def least_score(df: DataFrame, model: tuple[list[str], Params], held: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample: int = 2000, share: float = 0.8) -> float:
-    """Score below which a text has no language of the model: `share` of the lowest score that any of at most `sample`
-    held-out rows with a label has that are predicted right; 0 where there is none."""
-    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0) & held)
-    rows = rows.select(F.xxhash64(F.lit("least"), F.col(doc_id)).alias("h"), F.col(doc_id).alias("id"), F.col(label).alias("label"), F.col(text).cast("string").alias("text"))
-    tested = identify(first_by_hash(rows, "h", sample, rows.count(), "id").repartition(32, "h"), model, "id", "text", keep=True)
-    lowest = tested.where(F.col("lang_pred") == F.col("label")).agg(F.min("score")).first()[0]
+def least_right(scored: DataFrame, held: Column, label: str = "lang", share: float = 0.8) -> float:
+    """Score below which a text has no language of the model: `share` of the lowest score that any held-out row of `scored`
+    (`identify` with `keep`) has whose label the network predicts; 0 where there is none."""
+    lowest = scored.where(held & (F.col("lang_pred") == F.col(label)) & (F.col("lang_pred") != UNKNOWN)).agg(F.min("score")).first()[0]
     return share * (lowest or 0.0)
 
 
+def least_score(df: DataFrame, model: tuple[list[str], Params], held: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", share: float = 0.8) -> float:
+    """`least_right` of all held-out rows of df with a label, which it scores."""
+    rows = df.where(F.col(label).isNotNull() & (F.length(text) > 0) & held)
+    rows = rows.select(F.col(doc_id).alias("id"), F.col(label).alias("label"), F.col(text).cast("string").alias("text"))
+    return least_right(identify(rows, model, "id", "text", keep=True), F.lit(True), "label", share)
+
+
 def learnable(doc_id: str = "doc_id") -> Column:
     """Rows to learn from; the rest is held out."""
     return bucket_of(doc_id, 4) != 2
